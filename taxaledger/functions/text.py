@@ -26,14 +26,13 @@ def squeezed(x) -> Column:
 
 def is_filled(x) -> Column:
     """True when not null and not only white space; never null."""
-    x = _c(x)
-    return x.isNotNull() & F.coalesce(x.rlike(r"[^ \t\r\n]"), F.lit(False))
+    return F.coalesce(_c(x).rlike(r"[^ \t\r\n]"), F.lit(False))
 
 
 def filled_or(x, fallback) -> Column:
     """``x`` unless it is blank, else ``fallback``."""
-    x, fallback = _c(x), _c(fallback)
-    return F.when(is_filled(x), x).otherwise(fallback)
+    x = _c(x)
+    return F.when(x.rlike(r"[^ \t\r\n]"), x).otherwise(_c(fallback))
 
 
 def null_if_blank(x) -> Column:

@@ -187,24 +187,29 @@ def is_usable(query: Column, suggestion: Column) -> Column:
     return F.coalesce(token_count(suggestion) == token_count(query), F.lit(False))
 
 
-def checklist_verdict(query: Column, row: Column, spelling: str, exact: bool) -> dict[str, Column]:
-    """Canonical values of a checklist answer.
+# Fields that follow the name, and fields that follow its classification.
+CLASS_FIELDS = ("kingdom", "phylum", "class", "order", "family")
+
+
+def _verdict(status: Column, name: Column, ids: Column, classes: Column) -> Column:
+    return F.struct(
+        status.alias("status"), name.alias("name"), ids.alias("ids"), classes.alias("classes")
+    )
+
+
+def checklist_verdict(query: Column, row: Column, spelling: str, exact: bool) -> Column:
+    """Status of a checklist answer, and which parts of its row may be used.
 
     A refused suggestion describes another taxon, so nothing of it is kept; an
     exact key still owns its taxonomy.
     """
     usable = is_usable(query, row["scientificName"])
-    out = {f: row[f] if exact else F.when(usable, row[f]) for f in ROW_FIELDS}
-    out["scientificName"] = F.when(usable, row["scientificName"]).otherwise(query)
-    out["taxonomicStatus"] = F.when(usable, row["taxonomicStatus"])
-    out["validation_status"] = F.when(
-        usable, checklist_status(F.lit(spelling), row["taxonomicStatus"])
-    ).otherwise("not_found")
-    return out
+    status = F.when(usable, checklist_status(F.lit(spelling), row["taxonomicStatus"])).otherwise("not_found")
+    return _verdict(status, usable, F.lit(True) if exact else usable, F.lit(True) if exact else usable)
 
 
-def backbone_verdict(query: Column, row: Column, kind: Column) -> dict[str, Column]:
-    """Canonical values of a backbone answer of a match kind.
+def backbone_verdict(query: Column, row: Column, kind: Column) -> Column:
+    """Status of a backbone answer of a match kind, and its usable parts.
 
     HIGHERRANK with another name is the parent of the name, not the name: the
     input stays, unresolved, and only an accepted parent lends its
@@ -215,15 +220,19 @@ def backbone_verdict(query: Column, row: Column, kind: Column) -> dict[str, Colu
         match_key(row["scientificName"]) != match_key(query), F.lit(False)
     )
     foreign = parent & ~F.coalesce(status == "ACCEPTED", F.lit(False))
+    return _verdict(
+        F.when(parent, "not_found").otherwise(backbone_status(status, kind)), ~parent, ~parent, ~foreign
+    )
+
+
+def apply_verdict(query: Column, row: Column, verdict: Column) -> dict[str, Column]:
+    """The canonical values a verdict leaves of a row."""
     out = {}
     for f in ROW_FIELDS:
-        if f in ("kingdom", "phylum", "class", "order", "family"):
-            out[f] = F.when(~foreign, row[f])
-        elif f == "scientificName":
-            out[f] = F.when(parent, query).otherwise(row[f])
+        if f == "scientificName":
+            out[f] = F.coalesce(F.when(verdict["name"], row[f]), query)
+        elif f == "taxonomicStatus":
+            out[f] = F.when(verdict["name"], row[f])
         else:
-            out[f] = F.when(~parent, row[f])
-    out["validation_status"] = F.when(parent, "not_found").otherwise(
-        backbone_status(status, kind)
-    )
+            out[f] = F.when(verdict["classes" if f in CLASS_FIELDS else "ids"], row[f])
     return out

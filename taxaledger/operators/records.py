@@ -69,7 +69,7 @@ def standardize(records: DataFrame, answers: DataFrame, keys: list[str], model_c
     model = list(model_columns or records.columns)
     has = {c: c in answers.columns for c in ("_c", "_m", "_invasive", "_flag")}
     used = [c for c, there in has.items() if there]
-    wide = lookup_join(records, answers.select(*keys, *[k for k in keep if k not in keys], *used), keys, hot=hot)
+    wide = lookup_join(records, answers.select(*keys, *[k for k in keep if k not in keys and k not in records.columns], *used), keys, hot=hot)
     for name in [c for c in [*model, name_col] if c not in wide.columns]:
         wide = wide.withColumn(name, F.lit(None).cast("string"))
 

@@ -18,10 +18,10 @@ from ..functions.names import normalize_name
 from ..functions.status import status_rank
 from ..functions.text import is_filled, match_key
 from ..operators.answers import (
-    ROW_FIELDS, backbone_parents, backbone_verdict, checklist_verdict, exact_rows,
+    apply_verdict, backbone_parents, backbone_verdict, checklist_verdict, exact_rows,
     fuzzy_targets,
 )
-from ..operators.canonical import canonical_rows
+from ..operators.canonical import canonical_rows, placeholder_rows
 from ..operators.fuzzy import fuzzy_pairs
 from ..schema import CANONICAL_COLUMNS
 from ..session import write_stage
@@ -30,25 +30,23 @@ from ..sources.bases import BACKBONE, CHECKLIST, NameSource, in_priority
 
 def distinct_names(df: DataFrame, name_col: str = "scientificName") -> DataFrame:
     """Normalized, named and distinct; raw names are made distinct first."""
-    raw = df.select(F.col(name_col).alias("_raw")).distinct()
-    return (
-        raw.select(normalize_name("_raw").alias("query_name"))
-        .where(F.col("query_name").isNotNull())
-        .distinct()
-    )
+    # Written once, so that no test on the normalized name can be moved back in
+    # front of the distinct step, onto every record.
+    raw = write_stage(df.select(F.col(name_col).alias("_raw")).distinct())
+    names = write_stage(raw.select(normalize_name("_raw").alias("query_name")))
+    return names.where(F.col("query_name").isNotNull()).distinct()
 
 
 def _any(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def _candidate(values: dict[str, Column], place: int, provider: str) -> Column:
-    """A candidate row: rank first, then source order, then its values."""
-    rank = status_rank(values["validation_status"], values["taxonomicStatus"])
-    return F.struct(
-        rank.alias("rank"), F.lit(place).alias("place"), F.lit(provider).alias("provider"),
-        values["validation_status"].alias("validation_status"),
-        *[values[f].cast("string").alias(f) for f in ROW_FIELDS],
+def _candidate(asked: Column, verdict: Column, row: Column, place: int, number: int) -> Column:
+    """A comparable candidate: best status first, then the later source."""
+    rank = status_rank(verdict["status"], row["taxonomicStatus"])
+    return F.when(
+        asked,
+        F.struct(rank.alias("rank"), F.lit(place).alias("place"), F.lit(number).alias("number"), verdict.alias("v")),
     )
 
 
@@ -57,10 +55,11 @@ def fuzzy_best(queries: DataFrame, sources: Sequence[NameSource]) -> DataFrame:
 
     ``queries`` has ``query_name`` and ``ask``, a bit per source.
     """
-    targets = reduce(
+    # Read twice: for its names, and for the rows behind the chosen ones.
+    targets = write_stage(reduce(
         DataFrame.unionByName,
         [fuzzy_targets(s).withColumn("src", F.lit(i)) for i, s in enumerate(sources)],
-    )
+    ))
     budgets = {s.max_distance for s in sources}
     if len(budgets) != 1:
         raise ValueError("sources resolved together must share one max_distance")
@@ -78,6 +77,8 @@ def resolve_names(names: DataFrame, sources: Sequence[NameSource], fuzzy: bool =
     """One canonical row per name of ``names`` (column ``query_name``, distinct)."""
     sources = in_priority(sources)
     names = names.where(is_filled("query_name")).select("query_name")
+    if not sources:
+        return placeholder_rows(names)
     state = names.withColumn("mk", match_key("query_name"))
     for i, s in enumerate(sources):
         state = state.join(exact_rows(s).withColumnRenamed("row", f"e{i}"), "mk", "left")
@@ -88,16 +89,14 @@ def resolve_names(names: DataFrame, sources: Sequence[NameSource], fuzzy: bool =
             state = state.join(parents, "_genus", "left")
 
     query = F.col("query_name")
+    # Verdicts of the exact rows, bound to columns: they are read many times.
+    state = state.select("*", *[
+        (backbone_verdict(query, F.col(f"e{i}"), F.lit("EXACT")) if s.kind == BACKBONE
+         else checklist_verdict(query, F.col(f"e{i}"), "Correct", exact=True)).alias(f"v{i}")
+        for i, s in enumerate(sources)
+    ])
     held = [F.col(f"e{i}").isNotNull() for i in range(len(sources))]
-    exact_values, accepted = [], []
-    for i, s in enumerate(sources):
-        row = F.col(f"e{i}")
-        values = (
-            backbone_verdict(query, row, F.lit("EXACT")) if s.kind == BACKBONE
-            else checklist_verdict(query, row, "Correct", exact=True)
-        )
-        exact_values.append(values)
-        accepted.append(held[i] & F.coalesce(values["validation_status"] == "accepted", F.lit(False)))
+    accepted = [held[i] & (F.col(f"v{i}.status") == "accepted") for i in range(len(sources))]
 
     # First pass: a checklist is asked for the names it holds, a backbone for
     # every name still open. Only an accepted answer closes a name.
@@ -135,35 +134,42 @@ def resolve_names(names: DataFrame, sources: Sequence[NameSource], fuzzy: bool =
         )
         state = state.join(answers, "query_name", "left")
     else:
-        row_type = state.schema["e0"].dataType if sources else None
+        row_type = state.schema["e0"].dataType
         state = state.select("*", *[F.lit(None).cast(row_type).alias(f"f{i}") for i in range(len(sources))])
 
-    candidates = []
+    # Guesses and parents get their verdicts; then every candidate is complete.
+    guessed = []
     for i, s in enumerate(sources):
         near = F.col(f"f{i}")
         if s.kind == CHECKLIST:
-            exact = F.when(asked_first[i], _candidate(exact_values[i], i, s.id))
-            guess = F.when(
-                asked_second[i], _candidate(checklist_verdict(query, near, "Probably_incorrect", exact=False), i, s.id)
-            )
-            candidates += [exact, guess]
+            guessed.append(checklist_verdict(query, near, "Probably_incorrect", exact=False).alias(f"w{i}"))
         else:
-            parent = F.col(f"p{i}")
-            row = F.coalesce(F.col(f"e{i}"), near, parent)
+            row = F.coalesce(F.col(f"e{i}"), near, F.col(f"p{i}"))
             kind = F.when(held[i], "EXACT").when(near.isNotNull(), "FUZZY").when(
-                parent.isNotNull(), "HIGHERRANK").otherwise("NONE")
+                F.col(f"p{i}").isNotNull(), "HIGHERRANK").otherwise("NONE")
+            guessed += [row.alias(f"r{i}"), backbone_verdict(query, row, kind).alias(f"w{i}")]
+    state = state.select("*", *guessed)
+
+    candidates, rows = [], []
+    for i, s in enumerate(sources):
+        if s.kind == CHECKLIST:
+            for asked, verdict, row in ((asked_first[i], "v", "e"), (asked_second[i], "w", "f")):
+                candidates.append(_candidate(asked, F.col(f"{verdict}{i}"), F.col(f"{row}{i}"), i, len(rows)))
+                rows.append(F.col(f"{row}{i}"))
+        else:
             # A name the backbone does not know at all is still answered.
-            values = backbone_verdict(query, row, kind)
-            values["scientificName"] = F.coalesce(values["scientificName"], query)
-            candidates.append(F.when(asked_first[i], _candidate(values, i, s.id)))
-
-    if not candidates:
-        return canonical_rows(names.withColumn("validation_status", F.lit("not_found")))
-    # Structs compare field by field: best status first, then the later source.
-    best = F.array_max(F.filter(F.array(*candidates), lambda c: c.isNotNull()))
-    chosen = state.select("query_name", best.alias("_best"))
-    rows = chosen.select(
-        "query_name",
-        *[F.col(f"_best.{c}").alias(c) for c in ("validation_status", "provider", *ROW_FIELDS)],
+            candidates.append(_candidate(asked_first[i], F.col(f"w{i}"), F.col(f"r{i}"), i, len(rows)))
+            rows.append(F.col(f"r{i}"))
+    best = F.greatest(*candidates) if len(candidates) > 1 else candidates[0]
+    chosen = state.select("query_name", *[c for c in state.columns if c[0] in "efr" and c[1:].isdigit()], best.alias("_best"))
+    row = reduce(
+        lambda a, k: F.when(F.col("_best.number") == k, rows[k]).otherwise(a), range(1, len(rows)), rows[0]
+    )
+    provider = F.get(F.array(*[F.lit(s.id) for s in sources]), F.col("_best.place"))
+    chosen = chosen.select("query_name", F.col("_best.v").alias("v"), provider.alias("provider"), row.alias("row"))
+    values = apply_verdict(query, F.col("row"), F.col("v"))
+    out = chosen.select(
+        "query_name", "provider", F.col("v.status").alias("validation_status"),
+        *[c.alias(f) for f, c in values.items()],
     )
-    return canonical_rows(rows).select(*CANONICAL_COLUMNS)
+    return canonical_rows(out).select(*CANONICAL_COLUMNS)
