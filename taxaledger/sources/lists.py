@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import invasive_key, normalize_name
+from ..functions.names import normalize_name
 from ..functions.status import severity
 from ..functions.text import filled_or, is_filled, match_key, trimmed
 from ..operators.joins import first_per_key
+from ..session import write_stage
 
 # Annex number of the threatened list and the act it belongs to.
 ANNEX_SOURCES = {
@@ -138,7 +139,10 @@ def invasive_list(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
 
     rows = reduce(DataFrame.unionByName, [one(i, label, df) for i, (label, df) in enumerate(sources)])
     rows = rows.where(~F.coalesce(match_key("raw").isin(*LABEL_ROWS), F.lit(False)))
-    rows = rows.select("*", normalize_name("raw").alias("scientificName"), invasive_key("raw").alias("match_key"))
+    # Written before the key is tested: a test on the parsed name would be
+    # repeated inside every branch of the union.
+    rows = rows.withColumn("scientificName", normalize_name("raw"))
+    rows = write_stage(rows.select("*", match_key("scientificName").alias("match_key")))
     rows = rows.where(is_filled("match_key"))
     grouped = rows.groupBy("match_key").agg(
         F.min_by("scientificName", F.struct("place", "seq")).alias("scientificName"),
