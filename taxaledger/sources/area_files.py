@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_filled
+from .listing import empty_files
 
 MAX_BYTES = 200 * 1024 * 1024
 
@@ -29,10 +30,15 @@ class AreaFiles:
     rejects: DataFrame
 
 
+def file_name(path: Column) -> Column:
+    """Last part of a file path, which Spark reports in URL encoding."""
+    base = F.regexp_replace(path, r"^.*/", "")
+    return F.url_decode(F.replace(base, F.lit("+"), F.lit("%2B")))
+
+
 def area_name(path: Column) -> Column:
     """Name of an area: its file name without the extension."""
-    base = F.url_decode(F.regexp_replace(path, r"^.*/", ""))
-    return F.regexp_replace(base, r"(?i)\.(zip|kmz|kml)$", "")
+    return F.regexp_replace(file_name(path), r"(?i)\.(zip|kmz|kml)$", "")
 
 
 def check_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -40,12 +46,11 @@ def check_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> D
 
     Content is only loaded for files whose size passed.
     """
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").load(path).withColumn("path", F.col("_metadata.file_path"))
     kml = F.lower("path").endswith(".kml")
     sized = files.select("path", "length").select(
         "path",
-        F.when(~kml, "unsupported format").when(F.col("length") == 0, "empty file")
-        .when(F.col("length") > max_bytes, "file too large").alias("reason"),
+        F.when(~kml, "unsupported format").when(F.col("length") > max_bytes, "file too large").alias("reason"),
     )
     text = F.replace(F.decode("content", "UTF-8"), F.lit("\u0000"), F.lit(""))
     head = F.regexp_replace(text, r"(?s)<\?.*?\?>|<!--.*?-->", "")
@@ -54,7 +59,9 @@ def check_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> D
     content = files.where(kml & F.col("length").between(1, max_bytes)).select(
         "path", F.when(~root, "not a KML document").when(banned, "has a DTD, an entity, a VRT or a NetworkLink").alias("content_reason"),
     )
-    return sized.join(content, "path", "left").select("path", F.coalesce("reason", "content_reason").alias("reason"))
+    checked = sized.join(content, "path", "left").select("path", F.coalesce("reason", "content_reason").alias("reason"))
+    empty = empty_files(files, sized, "path").select("path", F.lit("empty file").alias("reason"))
+    return checked.unionByName(empty)
 
 
 def _ring(text: Column) -> Column:
@@ -96,12 +103,10 @@ def read_areas(spark: SparkSession, path: str) -> AreaFiles:
         spark.read.format("xml").option("rowTag", "Placemark").option("ignoreNamespace", "true").option("pathGlobFilter", "*.kml")
         .schema(PLACEMARK).load(path).select("*", F.col("_metadata.file_path").alias("path"))
     )
-    # Spark writes one file path in two ways; they meet without the scheme.
-    plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    good = checked.where(F.col("reason").isNull()).select(plain.alias("p"))
-    vertices = placemark_vertices(marks.withColumn("p", plain).join(good, "p", "left_semi").drop("p"))
+    good = checked.where(F.col("reason").isNull()).select("path")
+    vertices = placemark_vertices(marks.join(good, "path", "left_semi"))
     rejects = checked.where(is_filled("reason"))
     held = vertices.select("area").distinct().withColumn("_has", F.lit(True))
     empty = checked.where(F.col("reason").isNull()).withColumn("area", area_name(F.col("path"))).join(held, "area", "left_anti")
     rejects = rejects.unionByName(empty.select("path", F.lit("no geometry").alias("reason")))
-    return AreaFiles(vertices, rejects.select(F.regexp_replace("path", "^.*/", "").alias("file"), "reason"))
+    return AreaFiles(vertices, rejects.select(file_name(F.col("path")).alias("file"), "reason"))

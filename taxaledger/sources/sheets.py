@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_filled, trimmed
+from ..session import write_stage
+from .listing import empty_files
 
 NAME_KEY = "scientificName"
 # Delimiters in order of preference, and how far to look.
@@ -116,10 +118,12 @@ def detect_layouts(spark: SparkSession, path: str, key: str = NAME_KEY) -> DataF
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     spans = lines.groupBy("source_file").agg((F.max(quotes % 2) == 1).alias("multi_line"))
     heads = file_heads(lines).join(spans, "source_file").withColumn("extension", ext)
-    heads = heads.withColumn("delimiter", sniff_delimiter(F.col("lines"), F.col("extension"), key))
+    # Each step is written (one row per file): later tests on its result would
+    # otherwise be moved in front of it and repeat the text work.
+    heads = write_stage(heads.withColumn("delimiter", sniff_delimiter(F.col("lines"), F.col("extension"), key)))
     grid = heads.withColumn("grid", F.transform(F.slice(_rows(F.col("lines")), 1, HEADER_ROWS), lambda r: _cells(r, F.col("delimiter"))))
     at = F.array_position(F.transform("grid", lambda r: F.array_contains(r, key)), True)
-    grid = grid.withColumn("header_row", F.when(at > 0, at).cast("int"))
+    grid = write_stage(grid).withColumn("header_row", F.when(at > 0, at).cast("int"))
     header = F.get("grid", F.col("header_row") - 1)
     labels = F.when(F.col("header_row") > 1, F.get("grid", F.col("header_row") - 2))
     grid = grid.select(
@@ -137,10 +141,10 @@ def detect_layouts(spark: SparkSession, path: str, key: str = NAME_KEY) -> DataF
         .when(F.col("header_row").isNull(), f"no header row with a {key} column")
         .when(F.size(repeated) > 0, F.concat(F.lit("repeated columns: "), F.array_join(where, "; ")))
     )
-    return grid.select(
+    return write_stage(grid.select(
         "source_file", "delimiter", "multi_line", "header_row", "columns",
         F.transform("columns", lambda x: F.get(F.col("labels"), x["pos"])).alias("labels"), reason.alias("reason"),
-    )
+    ))
 
 
 def _read_layout(spark: SparkSession, paths: list[str], delimiter: str, multi_line: bool,
@@ -169,6 +173,8 @@ def read_sheets(spark: SparkSession, path: str, key: str = NAME_KEY) -> Sheets:
     found = detect_layouts(spark, path, key)
     layouts = found.where(F.col("reason").isNull()).drop("reason")
     rejects = found.where(F.col("reason").isNotNull()).select("source_file", "reason")
+    void = empty_files(spark.read.text(path), found, "source_file")
+    rejects = rejects.unionByName(void.select("source_file", F.lit("empty file").alias("reason")))
     # A read needs its paths and options on the driver: file names, no content.
     groups = layouts.groupBy("delimiter", "multi_line", "header_row", "columns").agg(
         F.sort_array(F.collect_list("source_file")).alias("paths")

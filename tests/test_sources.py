@@ -24,6 +24,7 @@ def test_sheets_of_many_layouts(spark, tmp_path):
     put(d, "dup.csv", "scientificName,locality,locality\nA b,1,2\n")
     put(d, "none.csv", "species,locality\nA b,1\n")
     put(d, "blank.csv", "   \n\n")
+    put(d, "zero.csv", "")
     put(d, "book.xlsx", "scientificName\nA b\n")
     out = sheets.read_sheets(spark, d)
     rows = {r["scientificName"]: r for r in out.records.collect()}
@@ -34,7 +35,7 @@ def test_sheets_of_many_layouts(spark, tmp_path):
     assert rows["Kus lus"]["locality"] == 'say "hi"'
     reasons = {os.path.basename(r["source_file"]): r["reason"] for r in out.rejects.collect()}
     assert reasons["dup.csv"] == "repeated columns: locality (colunas 2, 3)"
-    assert set(reasons) == {"dup.csv", "none.csv", "blank.csv", "book.xlsx"}
+    assert set(reasons) == {"dup.csv", "none.csv", "blank.csv", "book.xlsx", "zero.csv"}
     layout = {os.path.basename(r["source_file"]): r for r in out.layouts.collect()}
     assert layout["double.csv"]["labels"] == ["Nome científico", "Local"]
     assert layout["bom.csv"]["multi_line"] and not layout["double.csv"]["multi_line"]
