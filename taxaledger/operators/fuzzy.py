@@ -31,6 +31,20 @@ def letters_present(name: Column) -> Column:
     return mask.cast("int")
 
 
+def pairs_present(name: Column) -> Column:
+    """64 bits of the letter pairs of a name; one edit changes at most four.
+
+    A replaced letter takes two pairs away and brings two; two pairs on one bit
+    only make the difference smaller, so the test stays on the safe side.
+    """
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - 1))
+    return F.aggregate(
+        places, F.lit(0).cast("long"),
+        lambda mask, i: mask.bitwiseOR(F.call_function(
+            "shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(F.substr(name, i, F.lit(2))), F.lit(64)))),
+    )
+
+
 def _segment_start(number: Column, length: Column, budget: Column) -> Column:
     """Zero-based start of segment ``number`` (1-based) of an even cut."""
     short = F.floor(length / (budget + 1)).cast("int")
@@ -59,7 +73,8 @@ def target_index(targets: DataFrame, name: str, max_distance: float = 0.1) -> Da
     d = F.lit(max_distance)
     low = F.ceil(n * d / (1 + d) - F.lit(1e-9)).cast("int")
     high = F.floor((n * d + 1) / F.greatest(F.lit(1e-9), 1 - d) + F.lit(1e-9)).cast("int")
-    df = targets.select("*", n.alias("_n"), letters_present(F.col(name)).alias("_target_letters"))
+    df = targets.select("*", n.alias("_n"), letters_present(F.col(name)).alias("_target_letters"),
+                        pairs_present(F.col(name)).alias("_target_pairs"))
     df = df.withColumn("_t", F.explode(F.sequence(F.greatest(F.lit(0), low), F.greatest(F.lit(0), low, high))))
     df = df.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_t") + 1)))
     start = _segment_start(F.col("_i"), F.col("_n"), F.col("_t"))
@@ -75,6 +90,7 @@ def query_signatures(queries: DataFrame, name: str, max_distance: float = 0.1) -
         F.length(F.col(name)).alias("_l"),
         edit_budget(F.col(name), max_distance).alias("_t"),
         letters_present(F.col(name)).alias("_letters"),
+        pairs_present(F.col(name)).alias("_pairs"),
     )
     t, length = F.col("_t"), F.col("_l")
     df = df.withColumn(
@@ -103,7 +119,7 @@ def fuzzy_pairs(
 ) -> DataFrame:
     """All (query, target) pairs within the budget, with their ``distance``.
 
-    The letter test and the bounded edit distance are part of the join
+    The letter tests and the bounded edit distance are part of the join
     condition: pairs that fail never leave the join. Signatures that many
     targets share (a species-rich genus) are split over tasks. A pair that meets
     on two segments shows twice; the reductions that follow do not mind.
@@ -111,7 +127,8 @@ def fuzzy_pairs(
     index = target_index(targets, target, max_distance)
     wanted = query_signatures(queries, query, max_distance)
     within = (
-        (F.bit_count(F.col("_letters").bitwiseXOR(F.col("_target_letters"))) <= 2 * F.col("_t"))
+        (F.bit_count(F.col("_pairs").bitwiseXOR(F.col("_target_pairs"))) <= 4 * F.col("_t"))
+        & (F.bit_count(F.col("_letters").bitwiseXOR(F.col("_target_letters"))) <= 2 * F.col("_t"))
         & (F.call_function("levenshtein", F.col(query), F.col(target), F.col("_t")) >= 0)
     )
     if keep is not None:

@@ -146,9 +146,13 @@ def apply_threatened_status(records: DataFrame, category: str, source: str,
     return records.select(*[new[c].alias(c) if c in new else F.col(c) for c in records.columns])
 
 
-def invasive_lookup(names: DataFrame, invasive: DataFrame, name: str = "scientificName") -> DataFrame:
-    """Adds ``invasive`` (true or null, never false) and ``invasiveSource``."""
+def invasive_lookup(names: DataFrame, invasive: DataFrame, name: str = "scientificName", key: str | None = None) -> DataFrame:
+    """Adds ``invasive`` (true or null, never false) and ``invasiveSource``.
+
+    ``key`` names a column that already holds the list key of the name.
+    """
     table = invasive.where(is_filled("match_key")).select(
         F.col("match_key").alias("_ik"), F.lit(True).alias("invasive"), "invasiveSource"
     )
-    return names.withColumn("_ik", invasive_key(name)).join(table, "_ik", "left").drop("_ik")
+    keyed = names.withColumn("_ik", invasive_key(name) if key is None else F.col(key))
+    return keyed.join(table, "_ik", "left").drop("_ik")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import normalize_name
+from ..functions.names import invasive_key, normalize_name
 from ..functions.text import is_filled
 from ..operators.area_links import (
     accepted_name_map, link_localities, names_by_area, unlinked_localities,
@@ -95,10 +95,14 @@ def run_all(records: DataFrame, reference: Reference, geography: Geography | Non
 
     names = typed.where(is_filled("query_name")).select("query_name").distinct()
     listed = threatened_for_names(names, reference.threatened, reference.sources, "query_name", normalized=True)
-    name_map = write_stage(accepted_name_map(typed.where(is_filled("scientificName")), cascade))
+    # The list key is written with the map: keeping only the hits would else
+    # repeat the name parsing in the filter of the join.
+    name_map = accepted_name_map(typed.where(is_filled("scientificName")), cascade)
+    name_map = write_stage(name_map.withColumn("_key", invasive_key("scientificName")))
     invasive = write_stage(
-        invasive_lookup(name_map, reference.invasive).where("invasive").select("query_name", "invasiveSource")
+        invasive_lookup(name_map, reference.invasive, key="_key").where("invasive").select("query_name", "invasiveSource")
     )
+    name_map = name_map.drop("_key")
 
     geo, linked = None, pairs
     if geography is not None:
