@@ -30,7 +30,7 @@ def drain(df) -> None:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session("bench", cores=cpus, partitions=int(cpus) if cpus.isdigit() else 8)
+    spark = local_session("bench", cores=cpus, partitions=32)
     warm = os.path.join(os.path.dirname(folder.rstrip("/")), "sf0.001")
     if os.path.isdir(warm):
         drain(QUERIES["standardized"](spark, warm))

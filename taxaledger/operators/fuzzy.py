@@ -23,12 +23,18 @@ def edit_budget(name: Column, max_distance: float = 0.1) -> Column:
 
 
 def letters_present(name: Column) -> Column:
-    """Bit per letter of the alphabet; one edit changes at most two bits."""
+    """Two bits per letter of the alphabet: it occurs, it occurs again.
+
+    One edit takes one letter away, brings one, or both, so it changes at most
+    two bits.
+    """
     low = F.lower(name)
-    mask = F.lit(0)
+    mask = F.lit(0).cast("long")
     for i, letter in enumerate(_LETTERS):
-        mask = mask + F.when(F.contains(low, F.lit(letter)), 1 << i).otherwise(0)
-    return mask.cast("int")
+        count = F.length(low) - F.length(F.replace(low, F.lit(letter), F.lit("")))
+        bits = F.when(count > 1, F.lit(3 << 2 * i)).when(count == 1, F.lit(1 << 2 * i)).otherwise(F.lit(0))
+        mask = mask + bits.cast("long")
+    return mask
 
 
 def pairs_present(name: Column) -> Column:
@@ -80,7 +86,10 @@ def target_index(targets: DataFrame, name: str, max_distance: float = 0.1) -> Da
     start = _segment_start(F.col("_i"), F.col("_n"), F.col("_t"))
     size = _segment_length(F.col("_i"), F.col("_n"), F.col("_t"))
     text = F.substr(F.col(name), start + 1, size)
-    return df.withColumn("_sig", _signature(F.col("_t"), F.col("_n"), F.col("_i"), text)).drop("_t", "_n", "_i")
+    head = F.substr(F.col(name), F.lit(1), _segment_length(F.lit(1), F.col("_n"), F.col("_t")))
+    return df.withColumn("_target_head", F.xxhash64(head)).withColumn(
+        "_sig", _signature(F.col("_t"), F.col("_n"), F.col("_i"), text)
+    ).drop("_t", "_n", "_i")
 
 
 def query_signatures(queries: DataFrame, name: str, max_distance: float = 0.1) -> DataFrame:
@@ -109,7 +118,8 @@ def query_signatures(queries: DataFrame, name: str, max_distance: float = 0.1) -
     df = df.withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
     df = df.withColumn("_p", F.explode(F.sequence("_first", "_last")))
     text = F.substr(F.col(name), F.col("_p") + 1, F.col("_size"))
-    df = df.withColumn("_sig", _signature(t, n, i, text))
+    head = F.substr(F.col(name), F.lit(1), _segment_length(F.lit(1), n, t))
+    df = df.withColumn("_head", F.when(i > 1, F.xxhash64(head))).withColumn("_sig", _signature(t, n, i, text))
     return df.drop("_l", "_n", "_i", "_start", "_size", "_first", "_last", "_p").distinct()
 
 
@@ -126,8 +136,12 @@ def fuzzy_pairs(
     """
     index = target_index(targets, target, max_distance)
     wanted = query_signatures(queries, query, max_distance)
+    # A pair that shares its first segment meets there; it is not tested again
+    # on the later ones.
+    again = F.coalesce(F.col("_head") == F.col("_target_head"), F.lit(False))
     within = (
-        (F.bit_count(F.col("_pairs").bitwiseXOR(F.col("_target_pairs"))) <= 4 * F.col("_t"))
+        ~again
+        & (F.bit_count(F.col("_pairs").bitwiseXOR(F.col("_target_pairs"))) <= 4 * F.col("_t"))
         & (F.bit_count(F.col("_letters").bitwiseXOR(F.col("_target_letters"))) <= 2 * F.col("_t"))
         & (F.call_function("levenshtein", F.col(query), F.col(target), F.col("_t")) >= 0)
     )
