@@ -147,8 +147,9 @@ def fuzzy_pairs(
     )
     if keep is not None:
         within = keep & within
-    hot = hot_keys(index, ["_sig"])
-    pairs = split_join(index, wanted, ["_sig"], hot, how="inner", residual=within, splits=16)
+    # A signature can be common among the targets, the queries, or both.
+    hot = hot_keys(index, ["_sig"]).unionByName(hot_keys(wanted, ["_sig"])).distinct()
+    pairs = split_join(index, wanted, ["_sig"], hot, how="inner", residual=within, splits=8, right_splits=4)
     return pairs.withColumn("distance", F.levenshtein(F.col(query), F.col(target))).select(
         *queries.columns, *targets.columns, "distance"
     )

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 # more than 1 / HOT_SHARE hot keys: that bound is what allows broadcasting them.
 HOT_SHARE = 0.001
 SPLITS = 64
-# Rows up to which a written lookup table is broadcast; measured, not assumed.
-BROADCAST_ROWS = 200_000
+# Rows (or weight units) up to which a written lookup table is broadcast;
+# measured, not assumed.
+BROADCAST_ROWS = 100_000
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], columns: list[str] | None = None) -> DataFrame:
@@ -45,35 +46,43 @@ def _meet(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Co
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
+def _numbered(df: DataFrame, marks: DataFrame, pairs: list[tuple[str, str]], own: int, other: int,
+              own_name: str, other_name: str) -> DataFrame:
+    """Give rows of hot keys one of ``own`` numbers, and repeat them ``other`` times."""
+    # Position in the task, not a random number: a rerun gives the same split.
+    placed = df.withColumn("_pos", F.monotonically_increasing_id())
+    hot = F.col("_hot")
+    placed = placed.join(marks, _meet(placed, marks, pairs), "left").select(
+        *df.columns,
+        F.when(hot, F.pmod(F.hash("_pos"), F.lit(own))).otherwise(0).alias(own_name),
+        F.when(hot, F.sequence(F.lit(0), F.lit(other - 1))).otherwise(F.array(F.lit(0))).alias("_all"),
+    )
+    if other == 1:
+        return placed.drop("_all").withColumn(other_name, F.lit(0))
+    return placed.withColumn(other_name, F.explode("_all")).drop("_all")
+
+
 def split_join(
     left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame,
-    how: str = "left", residual=None, splits: int = SPLITS,
+    how: str = "left", residual=None, splits: int = SPLITS, right_splits: int = 1,
 ) -> DataFrame:
-    """Equi join (nulls meet nulls) with the hot keys of the left side split up.
+    """Equi join (nulls meet nulls) with the rows of hot keys split up.
 
-    Rows of a hot key get one of ``splits`` numbers, the right rows of that key
-    are repeated once per number, and the join runs on key and number. All other
-    keys keep number 0, so nothing else is repeated.
+    Left rows of a hot key get one of ``splits`` numbers and the right rows of
+    that key are repeated once per number; with ``right_splits`` the right rows
+    are numbered too, for inner joins whose both sides are large on one key. The
+    join runs on key and numbers, so each pair of rows still meets exactly once.
+    All other keys keep number 0 and nothing of them is repeated.
     """
+    if right_splits > 1 and how != "inner":
+        raise ValueError("splitting both sides needs an inner join")
     marks = F.broadcast(
         hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
     )
-    pairs = [(k, f"_h_{k}") for k in keys]
-    # Position in the task, not a random number: a rerun gives the same split.
-    l = left.withColumn("_pos", F.monotonically_increasing_id())
-    l = l.join(marks, _meet(l, marks, pairs), "left").select(
-        *left.columns,
-        F.when(F.col("_hot"), F.pmod(F.hash("_pos"), F.lit(splits))).otherwise(0).alias("_part"),
-    )
+    l = _numbered(left, marks, [(k, f"_h_{k}") for k in keys], splits, right_splits, "_part", "_part2")
     r = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
-    r_pairs = [(f"_r_{k}", f"_h_{k}") for k in keys]
-    r = r.join(marks, _meet(r, marks, r_pairs), "left").select(
-        *r.columns,
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))
-        ).alias("_r_part"),
-    )
-    on = _meet(l, r, [(k, f"_r_{k}") for k in keys]) & (l["_part"] == r["_r_part"])
+    r = _numbered(r, marks, [(f"_r_{k}", f"_h_{k}") for k in keys], right_splits, splits, "_r_part2", "_r_part")
+    on = _meet(l, r, [(k, f"_r_{k}") for k in keys]) & (l["_part"] == r["_r_part"]) & (l["_part2"] == r["_r_part2"])
     if residual is not None:
         on = on & residual
     kept = [c for c in r.columns if not c.startswith("_r_")]
@@ -82,21 +91,24 @@ def split_join(
     return l.join(r, on, how).select(*left.columns, *kept)
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a (written, small to scan) table has at most ``rows`` rows."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> bool:
+    """Whether a (written) table has at most ``rows`` rows, or units of ``weight``."""
+    if weight is None:
+        return df.limit(rows + 1).count() <= rows
+    return (df.agg(F.sum(weight)).first()[0] or 0) <= rows
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, keys: list[str],
-    how: str = "left", hot: DataFrame | None = None, rows: int = BROADCAST_ROWS,
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
+    hot: DataFrame | None = None, rows: int = BROADCAST_ROWS, weight: Column | None = None,
 ) -> DataFrame:
     """Join a large left side to a written lookup table.
 
     A lookup table that was measured small is broadcast, and the left side is
     not shuffled at all; a larger one meets the left side in ``split_join``.
+    ``weight`` measures rows of uneven size, such as rows with arrays.
     """
-    if fits_broadcast(right, rows):
+    if fits_broadcast(right, rows, weight):
         r = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
         joined = left.join(F.broadcast(r), _meet(left, r, [(k, f"_r_{k}") for k in keys]), how)
         if how in ("left_semi", "left_anti"):

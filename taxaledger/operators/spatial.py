@@ -156,7 +156,7 @@ def near_outline(lon: Column, lat: Column, edges: Column, epsg: Column, metres:
 def candidates(points: DataFrame, cells: DataFrame, lon: str, lat: str) -> DataFrame:
     """Point and part rows that share a cell, before the exact test."""
     placed = points.withColumn("cell_x", _cell(F.col(lon))).withColumn("cell_y", _cell(F.col(lat)))
-    return lookup_join(placed, cells, ["cell_x", "cell_y"], how="inner")
+    return lookup_join(placed, cells, ["cell_x", "cell_y"], how="inner", weight=1 + F.size("edges"))
 
 
 def points_near(points: DataFrame, cells: DataFrame, metres: float,

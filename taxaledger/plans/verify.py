@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.status import dimension_match, distribution_flag, presence
 from ..functions.text import match_key
 from ..operators.accepted import distributions
-from ..operators.joins import lookup_join
+from ..operators.joins import fits_broadcast, lookup_join
 from ..operators.occurrences import (
     by_taxon, dedupe, distinct_counts, first_page, points_of_names,
 )
@@ -67,8 +67,12 @@ def verify_distribution(
     wanted = write_stage(names.join(keys, "scientificName", "left"))
     taxa = wanted.where(F.col("taxon").isNotNull()).select("area", "taxon").distinct()
 
-    near = occurrences_near(occ, buffer_cells(area_parts, metres), metres)
-    found = lookup_join(by_taxon(near), write_stage(taxa), ["area", "taxon"], how="left_semi")
+    near = by_taxon(occurrences_near(occ, buffer_cells(area_parts, metres), metres))
+    taxa = write_stage(taxa)
+    if not fits_broadcast(taxa):
+        # The split join looks at its left side twice; scan the occurrences once.
+        near = write_stage(near)
+    found = lookup_join(near, taxa, ["area", "taxon"], how="left_semi")
     if page is not None:
         found = first_page(found, ["area", "taxon"], page)
         cut = found.select("area", "taxon", "gbif_status").distinct()

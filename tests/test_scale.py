@@ -55,6 +55,15 @@ def test_split_join_spreads_the_hot_key(spark):
     assert sum(sizes) == 20000 and max(sizes) < 12000
 
 
+def test_both_sides_split_meet_once(spark):
+    left = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 7).alias("k"))
+    right = spark.range(200).select(F.col("id").alias("j"), F.when(F.col("id") % 2 > 0, 1).otherwise(F.col("id") % 5).alias("k"))
+    hot = J.hot_keys(left, ["k"], share=0.3)
+    got = J.split_join(left, right, ["k"], hot, how="inner", splits=5, right_splits=3).select("id", "j")
+    want = left.join(right, "k").select("id", "j")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_fuzzy_equals_brute_force(spark):
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
