@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_filled, list_tokens, match_key, trimmed
+from ..functions.text import list_tokens, match_key, trimmed
 from ..sources.bases import NameSource
 
 

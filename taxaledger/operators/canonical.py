@@ -9,7 +9,6 @@ from ..functions.names import name_parts
 from ..functions.status import status_rank
 from ..functions.text import filled_or, is_filled
 from ..schema import CANONICAL_COLUMNS, CANONICAL_SCHEMA, SUPRA_GENERIC_RANKS
-from .joins import first_per_key
 
 
 def ensure_columns(df: DataFrame, columns) -> DataFrame:

@@ -38,7 +38,8 @@ def hot_keys(df: DataFrame, keys: list[str], weight: str | None = None, share: f
     """
     measure = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.groupBy(*keys).agg(measure.alias("_n"))
-    whole = df.agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_all"))
+    # The total comes from the same counts, so their shuffle can be reused.
+    whole = counts.agg(F.sum("_n").alias("_all"))
     return counts.where(F.col("_n") >= share * whole.scalar()).select(*keys)
 
 
