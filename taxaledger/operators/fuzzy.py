@@ -22,19 +22,19 @@ def edit_budget(name: Column, max_distance: float = 0.1) -> Column:
     return F.ceil(F.round(F.length(name) * F.lit(max_distance), 9)).cast("int")
 
 
-def letters_present(name: Column) -> Column:
+def letters_present(name: str) -> Column:
     """Two bits per letter of the alphabet: it occurs, it occurs again.
 
     One edit takes one letter away, brings one, or both, so it changes at most
     two bits.
     """
-    low = F.lower(name)
-    mask = F.lit(0).cast("long")
-    for i, letter in enumerate(_LETTERS):
-        count = F.length(low) - F.length(F.replace(low, F.lit(letter), F.lit("")))
-        bits = F.when(count > 1, F.lit(3 << 2 * i)).when(count == 1, F.lit(1 << 2 * i)).otherwise(F.lit(0))
-        mask = mask + bits.cast("long")
-    return mask
+    low = f"lower(`{name}`)"
+    count = f"least(2, length({low}) - length(replace({low}, '{{letter}}', '')))"
+    terms = [
+        f"CASE {count.format(letter=x)} WHEN 1 THEN {1 << 2 * i}L WHEN 2 THEN {3 << 2 * i}L ELSE 0L END"
+        for i, x in enumerate(_LETTERS)
+    ]
+    return F.expr(" + ".join(terms))
 
 
 def pairs_present(name: Column) -> Column:
@@ -79,7 +79,7 @@ def target_index(targets: DataFrame, name: str, max_distance: float = 0.1) -> Da
     d = F.lit(max_distance)
     low = F.ceil(n * d / (1 + d) - F.lit(1e-9)).cast("int")
     high = F.floor((n * d + 1) / F.greatest(F.lit(1e-9), 1 - d) + F.lit(1e-9)).cast("int")
-    df = targets.select("*", n.alias("_n"), letters_present(F.col(name)).alias("_target_letters"),
+    df = targets.select("*", n.alias("_n"), letters_present(name).alias("_target_letters"),
                         pairs_present(F.col(name)).alias("_target_pairs"))
     df = df.withColumn("_t", F.explode(F.sequence(F.greatest(F.lit(0), low), F.greatest(F.lit(0), low, high))))
     df = df.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_t") + 1)))
@@ -98,7 +98,7 @@ def query_signatures(queries: DataFrame, name: str, max_distance: float = 0.1) -
         "*",
         F.length(F.col(name)).alias("_l"),
         edit_budget(F.col(name), max_distance).alias("_t"),
-        letters_present(F.col(name)).alias("_letters"),
+        letters_present(name).alias("_letters"),
         pairs_present(F.col(name)).alias("_pairs"),
     )
     t, length = F.col("_t"), F.col("_l")
