@@ -9,7 +9,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taxaledger.llm import bpe_codec, token_counts, token_store
+from taxaledger.llm import bpe_codec, secret_scan, token_counts, token_store
+from taxaledger.llm.secret_scan_sql import OP3_SQL
 from taxaledger.llm.shipping import ship
 from taxaledger.llm.texts import table
 from taxaledger.session import shared_folder
@@ -28,6 +29,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return shipped
 
 
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+SQL["op3_secret_scan"] = OP3_SQL
+
+
 @query
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-store-{uuid.uuid4().hex}"
