@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -10,6 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Spark has a Python worker for each core: the tokenizers library must not start threads of its own.
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
 #: Bytes of text that one Python step holds at once, unless a single text is longer.
 SLICE_BYTES = 4 << 20
 

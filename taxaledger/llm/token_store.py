@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from taxaledger.llm.texts import Memo, id_and_text, slices
+from taxaledger.llm.wordpiece_units import BEYOND, byte_letters, latin
 
 BLOCK_IDS = 1 << 16
 LEVEL = 3
@@ -70,6 +72,12 @@ def from_planes(planes: list[bytes], n_ids: int) -> np.ndarray:
     return np.ascontiguousarray(np.stack(rows, axis=1) if isinstance(rows, list) else rows.T).view("<u4").reshape(-1)
 
 
+#: Fixed value: the byte-level pattern, for characters below BEYOND.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+".format(L=latin("L"), N=latin("N"), S=r"\t-\r\x20\x85\xa0"))
+
+LETTERS = str.maketrans(dict(enumerate(byte_letters())))
+
+
 class ByteTokenizer:
     """The library's byte-level tokenizer, asked once for each short unit.
 
@@ -88,8 +96,16 @@ class ByteTokenizer:
         t.no_padding()
         added = [a.content for a in t.get_added_tokens_decoder().values()]
         self.by_unit = t.normalizer is None and type(t.pre_tokenizer).__name__ == "ByteLevel" and not t.pre_tokenizer.add_prefix_space and not any(" " in a for a in added)
-        self.first = Memo(lambda new: self._encode(new), memo_units // 8)
-        self.rest = Memo(lambda new: self._encode([" " + u for u in new]), memo_units)
+        self.model, self.has_added = t.model, re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        self.first = Memo(lambda new: [self._encode_unit(u) if u else b"" for u in new], memo_units // 8)
+        self.rest = Memo(lambda new: [self._encode_unit(" " + u) for u in new], memo_units)
+
+    def _encode_unit(self, unit: str) -> bytes:
+        """Units of Latin letters: the library's model on pieces split here; others: the whole library."""
+        if max(unit) >= BEYOND or self.has_added(unit):
+            return self._encode([unit])[0]
+        tokenize = self.model.tokenize
+        return array("I", [t.id for p in PIECES.findall(unit) for t in tokenize(p.encode().decode("latin-1").translate(LETTERS))]).tobytes()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]

@@ -32,12 +32,13 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
-def _latin(kind: str) -> str:
+def latin(kind: str) -> str:
+    """The characters below BEYOND of a general category."""
     return "".join(c for c in map(chr, range(ord(BEYOND))) if unicodedata.category(c)[0] == kind)
 
 
 #: The same split for characters below BEYOND, or a line end between units.
-LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+|\n".format(L=_latin("L"), N=_latin("N")))
+LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+|\n".format(L=latin("L"), N=latin("N")))
 
 BYTE_OF = {c: b for b, c in enumerate(byte_letters())}
 
