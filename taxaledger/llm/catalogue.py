@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taxaledger.llm import bpe_codec, secret_scan, token_counts, token_store, winnowing
+from taxaledger.llm import bpe_codec, language_gru, quality_cnn, secret_scan, token_counts, token_store, winnowing
 from taxaledger.llm.secret_scan_sql import OP3_SQL
 from taxaledger.llm.shipping import ship
 from taxaledger.llm.texts import table
@@ -37,6 +37,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op3_secret_scan"] = OP3_SQL
 
 
+@query
+def op4_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_gru.predictions(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-store-{uuid.uuid4().hex}"
@@ -60,3 +65,8 @@ SQL["op8_winnowing"] = winnowing.OP8_SQL
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
