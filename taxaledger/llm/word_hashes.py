@@ -33,7 +33,7 @@ class _Powers:
 
     def __call__(self, n: int) -> np.ndarray:
         while len(self.held) < n:
-            self.held = np.concatenate((self.held, self.held * (self.held[-1] * self.base)))
+            self.held = np.concatenate((self.held, self.held * (self.held[-1:] * self.base)))
         return self.held[:n]
 
 
@@ -57,7 +57,6 @@ class Words:
         ends = np.cumsum(lengths + 1)
         self.first = np.concatenate(([0], np.searchsorted(self.start, ends)))
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        # +1: a word's leading zero bytes count; words hold none, but hashes of prefixes differ anyway.
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers(len(self.data)), dtype=np.uint64)))
         raw = (sums[self.end] - sums[self.start]) * _inverses(len(self.data))[self.start] if len(self.start) else np.zeros(0, np.uint64)
         self.hash = mixed(raw)
