@@ -31,7 +31,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 @query
 def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
 
 
 @query

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from taxaledger.llm.bag_minhash import bands, shingles, signatures
 from taxaledger.llm.components import components
 from taxaledger.llm.key_bits import collect_bits, may_hold, unpacked
-from taxaledger.llm.texts import id_and_text, slices
+from taxaledger.llm.texts import slices
 from taxaledger.llm.word_hashes import Words
 from taxaledger.session import write_stage
 
@@ -45,12 +45,13 @@ BANDS, ROWS = 25, 5
 LINEAR = 4
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    own = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row.alias("rid"))
     return own.withColumns({"digest": F.unhex(F.md5("text")), "short_key": F.xxhash64("text")})
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, row_col: str | None = None) -> DataFrame:
     """(rid, doc_id, digest, short_key, bands) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +64,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), values)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("rid", "doc_id", "digest", "short_key")], lists], ["rid", "doc_id", "digest", "short_key", "bands"])
 
-    rows = _keyed(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
+    rows = _keyed(docs, id_col, text_col, row_col)
     return rows.select("rid", "doc_id", "digest", "short_key", "text").mapInArrow(run, "rid long, doc_id long, digest binary, short_key long, bands array<long>")
 
 
@@ -147,9 +148,9 @@ def _linked(members: DataFrame, held: DataFrame, n_nodes: int, threshold: float)
             members = members.limit(0)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = SIMILAR) -> DataFrame:
-    """(doc_id, class_id, class_size, kept) of every row."""
-    rows = write_stage(sketches(docs, id_col, text_col, k))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = SIMILAR, row_col: str | None = None) -> DataFrame:
+    """(doc_id, class_id, class_size, kept, rid) of every row; ``row_col`` holds a unique number of the row, if there is one."""
+    rows = write_stage(sketches(docs, id_col, text_col, k, row_col))
     nodes = write_stage(rows.groupBy("digest").agg(F.min("rid").alias("node"), F.first("short_key").alias("short_key"), F.first("bands").alias("bands")))
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
@@ -162,4 +163,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = rows.select("rid", "doc_id", "digest").join(write_stage(named), "digest")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
     classes = write_stage(placed.groupBy("comp").agg(first.alias("first"), F.count("*").alias("class_size")))
-    return placed.join(classes, "comp").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("first.rid") == F.col("rid")).alias("kept"))
+    return placed.join(classes, "comp").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("first.rid") == F.col("rid")).alias("kept"), "rid")

@@ -178,8 +178,8 @@ def held_out(mod: int = 5, rest: int = 0, id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod == rest, F.lit(False))
 
 
-def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, columns to keep) of every text."""
+def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc_id, score) of every text, or the columns to keep and ``_score``."""
     held = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +194,14 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
             rest = [c for c in range(batch.num_columns) if c != text_at]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(p, pa.float64())], names=names)
 
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), *[F.col(k).alias(f"_keep{i}") for i, k in enumerate(keep)], F.col(text_col).cast("string").alias("_text"))
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), *[F.col(f"`{k}`").alias(f"_keep{i}") for i, k in enumerate(keep or ())], F.col(text_col).cast("string").alias("_text"))
     text_at = len(own.columns) - 1
     names = [*own.columns[:-1], "_score"]
     types = dict(own.dtypes)
     got = own.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in own.columns[:-1]) + ", _score double")
-    return got.select(F.col("_id").alias("doc_id"), F.col("_score").alias("score"), *[F.col(f"_keep{i}").alias(k) for i, k in enumerate(keep)])
+    if keep is None:
+        return got.select(F.col("_id").alias("doc_id"), F.col("_score").alias("score"))
+    return got.select(*[F.col(f"_keep{i}").alias(k) for i, k in enumerate(keep)], "_score")
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:

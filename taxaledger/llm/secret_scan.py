@@ -112,8 +112,8 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, spans, columns to keep): spans are sorted by start, then rule number."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(k).alias(f"_keep_{k}") for k in keep])
+    """(doc_id, text, spans, _keep0, ...): spans are sorted by start, then rule number."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(f"`{k}`").alias(f"_keep{i}") for i, k in enumerate(keep)])
     asked = write_stage(candidates(write_stage(postings(own, rules)), rules)).withColumnRenamed("doc_id", "_id")
     joined = own.join(asked, F.col("doc_id") == F.col("_id"), "left")
     everything = F.array(*[F.lit(n) for n in range(len(rules))])
@@ -123,7 +123,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
         full = trigram_query(rule.pattern) == ANY
         due = F.lit(True) if full else F.coalesce(F.array_contains(to_check, n), F.lit(False))
         found.append(F.when(due & F.col("text").rlike(rule.pattern), spans_of("text", rule, n)).otherwise(F.expr(_NO_SPANS)))
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*found)).alias("spans"), *[F.col(f"_keep_{k}").alias(f"_keep_{k}") for k in keep])
+    return joined.select("doc_id", "text", F.array_sort(F.concat(*found)).alias("spans"), *[f"_keep{i}" for i in range(len(keep))])
 
 
 def said(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -140,13 +140,12 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
-def masked(found: DataFrame, mask: str = "[removed]") -> Column:
+def masked(mask: str = "[removed]") -> Column:
     """``text`` of a row of ``scan`` with every span replaced; overlapping spans count as one."""
-    joined = F.expr("""aggregate(spans, cast(array() as array<struct<a: int, b: int>>), (acc, s) ->
+    merged = """aggregate(spans, cast(array() as array<struct<a: int, b: int>>), (acc, s) ->
         if(size(acc) > 0 and s.start < element_at(acc, -1).b,
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(element_at(acc, -1).b, s.end)))),
-           concat(acc, array(named_struct('a', s.start, 'b', s.end)))))""")
-    parts = F.expr(f"""transform(array(_merged), m -> concat(
-        array_join(transform(m, (s, i) -> concat(substring(text, if(i = 0, 1, m[i - 1].b + 1), s.a - if(i = 0, 0, m[i - 1].b)), {_quoted(mask)})), ''),
-        substring(text, element_at(m, -1).b + 1)))[0]""")
-    return joined, F.when(F.size("_merged") == 0, F.col("text")).otherwise(parts)
+           concat(acc, array(named_struct('a', s.start, 'b', s.end)))))"""
+    return F.expr(f"""if(size(spans) = 0, text, transform(array({merged}), m -> concat(
+        array_join(transform(m, (s, i) -> concat(substring(text, if(i = 0, 0, get(m, i - 1).b) + 1, s.a - if(i = 0, 0, get(m, i - 1).b)), {_quoted(mask)})), ''),
+        substring(text, element_at(m, -1).b + 1)))[0])""")

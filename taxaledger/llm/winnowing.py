@@ -112,13 +112,13 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, spans array<struct<begin, end>>, items array<string>) of every document.
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, gram: int = GRAM, row_col: str | None = None) -> DataFrame:
+    """(doc_id, n_words, spans array<struct<begin, end>>, items array<string>, rid) of every document.
 
     Spans are runs of hit words, merged and in order; items are sorted as strings.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("rid"))
     tests = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
     tests = write_stage(tests.withColumn("rid", F.monotonically_increasing_id()))
 
@@ -154,7 +154,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return texts.select("rid", "doc_id", "n_words").join(per_text, "rid", "left").select(
         "doc_id", "n_words",
         F.coalesce("spans", F.expr("cast(array() as array<struct<begin: bigint, end: bigint>>)")).alias("spans"),
-        F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
+        F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), "rid",
     )
 
 
