@@ -196,25 +196,32 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarra
             yield row, from_planes(row["planes"], row["n_ids"])
 
 
+def _times(matrix: list[int], vector: int) -> int:
+    out, i = 0, 0
+    while vector:
+        if vector & 1:
+            out ^= matrix[i]
+        vector >>= 1
+        i += 1
+    return out
+
+
+@lru_cache(maxsize=None)
+def _zero_bits(power: int) -> list[int]:
+    """What appending ``2**power`` zero bits does to each bit of a checksum."""
+    if power == 0:
+        return [0xEDB88320, *(1 << i for i in range(31))]
+    half = _zero_bits(power - 1)
+    return [_times(half, row) for row in half]
+
+
 def crc32_joined(crc: int, more: int, n_bytes: int) -> int:
     """The checksum of two byte strings in a row, from theirs and the second's length."""
-
-    def times(matrix: list[int], vector: int) -> int:
-        out, i = 0, 0
-        while vector:
-            if vector & 1:
-                out ^= matrix[i]
-            vector >>= 1
-            i += 1
-        return out
-
-    step = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit appended
-    n_bits = n_bytes * 8
+    n_bits, power = n_bytes * 8, 0
     while n_bits:
         if n_bits & 1:
-            crc = times(step, crc)
-        step = [times(step, row) for row in step]
-        n_bits >>= 1
+            crc = _times(_zero_bits(power), crc)
+        n_bits, power = n_bits >> 1, power + 1
     return crc ^ more
 
 
@@ -238,8 +245,8 @@ def document_checksums(spark: SparkSession, path: str) -> DataFrame:
 
     @F.udf("long")
     def joined(pieces):
-        crc = 0
-        for p in pieces:
+        crc = pieces[0]["crc"]
+        for p in pieces[1:]:
             crc = crc32_joined(crc, p["crc"], 4 * p["n"])
         return crc
 
@@ -251,5 +258,4 @@ def document_checksums(spark: SparkSession, path: str) -> DataFrame:
     # One row per shard: as few as there are partitions.
     totals = spark.read.parquet(f"{path}/index").groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    crc = F.when(F.size("pieces") == 1, F.col("pieces")[0]["crc"]).otherwise(joined("pieces"))
-    return documents.join(before, "shard").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", crc.alias("ids_crc32"))
+    return documents.join(before, "shard").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", joined("pieces").alias("ids_crc32"))
