@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taxaledger.llm import bpe_codec, language_gru, near_duplicates, quality_cnn, secret_scan, token_counts, token_store, winnowing
+from taxaledger.llm import bpe_codec, language_gru, near_duplicates, quality_cnn, secret_scan, token_counts, token_store, vector_search, winnowing
 from taxaledger.llm.secret_scan_sql import OP3_SQL
 from taxaledger.llm.shipping import ship
 from taxaledger.llm.texts import table
@@ -47,6 +47,11 @@ def op4_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_gru.predictions(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-store-{uuid.uuid4().hex}"
