@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from taxaledger.llm.segment_tree import SegmentTreeBpe
-from taxaledger.llm.texts import Memo, id_and_text, slices
+from taxaledger.llm.texts import UNIT_SLICE_BYTES, Memo, id_and_text, slices
 from taxaledger.llm.wordpiece_units import WordTokenizer, byte_letters, units
 
 #: Units whose ids a Python worker keeps.
-MEMO_UNITS = 500_000
+MEMO_UNITS = 300_000
 
 
 class Codec:
@@ -84,7 +84,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
-        for batch in slices(batches):
+        for batch in slices(batches, most=UNIT_SLICE_BYTES):
             ids = [list(map(int, said.split())) for said in c.encode_batch(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -113,7 +113,7 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in slices(batches):
+        for batch in slices(batches, most=UNIT_SLICE_BYTES):
             counts, ids_sha, text_sha = [], [], []
             for ids in c.encode_batch(batch.column("text").to_pylist()):
                 counts.append(ids.count(" ") + 1 if ids else 0)

@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 #: Bytes of text that one Python step holds at once, unless a single text is longer.
-SLICE_BYTES = 4 << 20
+#: Hashing takes some thirty times that in arrays.
+SLICE_BYTES = 1 << 20
+
+#: The same for steps that learn the units of a slice together.
+UNIT_SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

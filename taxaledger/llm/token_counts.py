@@ -22,12 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaledger.llm.texts import Memo, id_and_text, slices
+from taxaledger.llm.texts import UNIT_SLICE_BYTES, Memo, id_and_text, slices
 from taxaledger.llm.wordpiece_units import WordTokenizer, units
 
 CHUNK = 32_768
 OVERLAP = 512
-MEMO_UNITS = 600_000
+MEMO_UNITS = 300_000
 
 #: White space to every library.
 _SPACE = " \t\n\r"
@@ -87,7 +87,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer_path, chunk, overlap)
-        for batch in slices(batches):
+        for batch in slices(batches, most=UNIT_SLICE_BYTES):
             text = batch.column("text")
             n_bytes = pc.cast(pc.fill_null(pc.binary_length(text), 0), pa.int64())
             n_tokens = pa.array(c.count_batch(text.to_pylist()), pa.int64())

@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from taxaledger.llm.texts import Memo, id_and_text, slices
+from taxaledger.llm.texts import UNIT_SLICE_BYTES, Memo, id_and_text, slices
 from taxaledger.llm.wordpiece_units import BEYOND, byte_letters, latin
 
 BLOCK_IDS = 1 << 16
 LEVEL = 3
-MEMO_UNITS = 500_000
+MEMO_UNITS = 300_000
 
 _DOCS = "array<struct<place: long, doc_id: long, at: int, n: int>>"
 BLOCKS_SCHEMA = f"shard int, block int, first long, n_ids int, planes array<binary>, docs {_DOCS}"
@@ -142,7 +142,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 0, kind: s
             held, pieces, filled = [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=_arrow())
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=UNIT_SLICE_BYTES):
             doc_ids = batch.column("doc_id").to_pylist()
             for doc_id, raw in zip(doc_ids, tok.encode_batch(batch.column("text").to_pylist()), strict=True):
                 ids = np.frombuffer(raw + end, "<u4")
