@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,8 @@ from taxaledger.plans import verify as ver
 from taxaledger.plans.full_run import Geography, Reference, run_all
 from taxaledger.plans.threat_status import threat_status as attach_threat
 from taxaledger.schema import BUFFER_METRES
-from taxaledger.session import write_stage
-from taxaledger.sources import bases, lists
+from taxaledger.session import run_folder, write_stage
+from taxaledger.sources import bases, lists, sheets, sinks
 
 from . import reference_sql as R
 from .views import Inputs
@@ -434,17 +435,36 @@ SELECT line_no, sn AS scientificName, {R.mk(R.nn('sn'))} AS match_key, CASE cat
 WHERE contains(value, '|') AND cells >= 3 AND regexp_matches(id, '^[0-9]+$') AND cat IN ('VU','EN','CR','CR (PE)','CR (PEX)') AND regexp_matches(sn, '^[A-Z]\\S*\\s+\\S')"""
 
 
+def _list_lines(v: Inputs) -> DataFrame:
+    return v.spark.sql(_LINES.replace("v_taxa", "{t}"), t=v.taxa).withColumn("file", F.lit("list"))
+
+
 @query("SELECT * FROM r_list_rows")
 def threatened_list_rows(v):
-    lines = v.spark.sql(_LINES.replace("v_taxa", "{t}"), t=v.taxa)
-    return lists.threatened_rows(lines)
+    return lists.threatened_rows(_list_lines(v)).drop("file")
+
+
+def _folder(v: Inputs) -> str:
+    return f"{run_folder(v.spark)}/files-{uuid.uuid4().hex}"
+
+
+# The same lines in two files; each starts without an annex of its own.
+R.REFERENCE["r_file_rows"] = R.REFERENCE["r_list_rows"].replace("OVER (ORDER BY", "OVER (PARTITION BY cast(floor(line_no / 5000) AS BIGINT) % 2 ORDER BY")
+
+
+@query("SELECT scientificName, match_key, category, source FROM r_file_rows")
+def threatened_files(v):
+    """The list written as text files and read again, line numbers and all."""
+    lines, path = _list_lines(v), _folder(v)
+    lines = lines.select((F.floor(F.col("line_no") / 5000) % 2).alias("part"), "line_no", "value")
+    lines.repartition("part").sortWithinPartitions("part", "line_no").select("part", "value").write.partitionBy("part").text(path)
+    return lists.threatened_rows(lists.numbered_lines(v.spark, path)).drop("file", "line_no")
 
 
 @query(f"""SELECT match_key, scientificName, category, source FROM (SELECT *, row_number() OVER (PARTITION BY match_key ORDER BY {R.SEVERITY.format(c='category')} DESC, scientificName) AS rn
  FROM (SELECT * FROM r_list_rows UNION ALL SELECT line_no + 7, upper(scientificName[1]) || scientificName[2:] || ' L.', match_key, 'CR', 'state list' FROM r_list_rows WHERE line_no % 40 = 0)) WHERE rn = 1""")
 def threatened_list(v):
-    lines = v.spark.sql(_LINES.replace("v_taxa", "{t}"), t=v.taxa)
-    rows = lists.threatened_rows(lines)
+    rows = lists.threatened_rows(_list_lines(v)).drop("file")
     more = rows.where("line_no % 40 = 0").select(
         (F.col("line_no") + 7).alias("line_no"), F.concat("scientificName", F.lit(" L.")).alias("scientificName"),
         "match_key", F.lit("CR").alias("category"), F.lit("state list").alias("source"))
@@ -458,9 +478,7 @@ def region_labels(v):
     layer = v.spark.read.parquet(f"{v.folder}/customer.parquet").select(
         F.col("c_custkey").alias("area"),
         F.when(n == 0, "Amazônia").when(n == 1, "Mata Atlântica").when(n == 2, "Sistema Costeiro").otherwise("Pampa").alias("biome"))
-    mapped, unmapped = lists.harmonize_labels(layer, "biome")
-    # A layer with an unmapped label gives no rows at all.
-    return mapped.join(unmapped.select(F.lit(True).alias("bad")), F.col("bad"), "left_anti")
+    return lists.require_labels(layer, "biome")
 
 
 @query("""SELECT 'mma' AS label, source, count(*) AS n_rows, count(DISTINCT match_key) AS n_taxa, '2026' AS version FROM v_mma GROUP BY source
@@ -471,6 +489,97 @@ def reference_profile(v):
     })
 
 
+# --- files ----------------------------------------------------------------
+
+_SHEET_COLUMNS = ("record_id", "scientificName", "locality", "status")
+
+
+def _quoted(c: str):
+    return F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def _write_text(rows: DataFrame, path: str) -> None:
+    """Text files by ``part``, their lines in the order of ``at``."""
+    rows.repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
+
+
+def _write_sheets(v: Inputs) -> str:
+    """The records as sheets of three layouts, several files each."""
+    path, records = _folder(v), v.records.select(*[F.col(c).cast("string").alias(c) for c in _SHEET_COLUMNS])
+    kind, part = F.col("record_id").cast("long") % 3, (F.col("record_id").cast("long") % 4).alias("part")
+    records.where(kind == 0).select("*", part).write.partitionBy("part").csv(f"{path}/kind=a", sep=";", header=True)
+    parts = v.spark.range(4).select(F.col("id").alias("part"))
+    # Quoted cells, one of them over several lines above the header, and a label row.
+    head = [f'"about{chr(10)}' + "this sheet\n" * 420 + '"', "", '"Nome","Registro","Local","Categoria"', '"scientificName","record_id","locality","status"']
+    above = parts.select("part", F.posexplode(F.array(*[F.lit(h) for h in head])).alias("p", "value")).select("part", (F.col("p") - 10).cast("long").alias("at"), "value")
+    body = records.where(kind == 1).select(part, F.col("record_id").cast("long").alias("at"), F.concat_ws(",", *[_quoted(c) for c in ("scientificName", "record_id", "locality", "status")]).alias("value"))
+    _write_text(above.unionByName(body), f"{path}/kind=b")
+    above = parts.select("part", F.lit(-1).cast("long").alias("at"), F.lit("locality\tscientificName\trecord_id").alias("value"))
+    body = records.where(kind == 2).select(part, F.col("record_id").cast("long").alias("at"), F.concat_ws("\t", F.coalesce("locality", F.lit("")), F.coalesce("scientificName", F.lit("")), "record_id").alias("value"))
+    _write_text(above.unionByName(body), f"{path}/kind=c")
+    return path
+
+
+@query("""SELECT cast(record_id AS VARCHAR) AS record_id, coalesce(scientificName, '') AS scientificName, coalesce(locality, '') AS locality,
+ CASE WHEN record_id % 3 = 2 THEN '' ELSE coalesce(status, '') END AS status, true AS unique_seq FROM v_records""")
+def sheet_ingest(v):
+    """Sheets of all layouts written, read, and numbered without a repeat."""
+    rows = write_stage(sheets.read_sheets(v.spark, _write_sheets(v)).records)
+    repeats = rows.groupBy("seq").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in _SHEET_COLUMNS], (F.lit(repeats.first()[0]) == 1).alias("unique_seq"))
+
+
+@query("""SELECT kind, n_records, header_row, delimiter, columns, labels FROM (SELECT CASE record_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS kind, count(*) AS n_records FROM v_records GROUP BY 1)
+ JOIN (SELECT unnest(['a', 'b', 'c']) AS kind, unnest([1, 3, 1]) AS header_row, unnest([';', ',', chr(9)]) AS delimiter,
+ unnest(['record_id scientificName locality status', 'scientificName record_id locality status', 'locality scientificName record_id']) AS columns,
+ unnest(['', 'Nome Registro Local Categoria', '']) AS labels) USING (kind)""")
+def layout_sniff(v):
+    read = sheets.read_sheets(v.spark, _write_sheets(v))
+    kind = F.regexp_extract("source_file", "kind=([abc])", 1).alias("kind")
+    counts = read.records.select(kind).groupBy("kind").agg(F.count("*").alias("n_records"))
+    said = read.layouts.select(kind, "header_row", "delimiter", F.array_join("columns.name", " ").alias("columns"), F.array_join("labels", " ").alias("labels"))
+    return said.distinct().join(counts, "kind")
+
+
+@query("""SELECT c_nationkey AS part, CASE c_nationkey % 3 WHEN 0 THEN 'repeated columns: locality (colunas 2, 3)'
+ WHEN 1 THEN 'no header row with a scientificName column' ELSE 'read' END AS verdict, CASE c_nationkey % 3 WHEN 2 THEN count(*) ELSE 0 END AS n_records FROM customer GROUP BY c_nationkey""")
+def header_rejects(v):
+    """One sheet per nation: some with a repeated column, some without a header."""
+    path, customer = _folder(v), v.spark.read.parquet(f"{v.folder}/customer.parquet")
+    part = F.col("c_nationkey").cast("long").alias("part")
+    header = F.element_at(F.array(F.lit("scientificName;locality;locality"), F.lit("name;place;note"), F.lit("scientificName;locality;note")), (F.col("part") % 3 + 1).cast("int"))
+    above = customer.select(part).distinct().select("part", F.lit(-1).cast("long").alias("at"), header.alias("value"))
+    body = customer.select(part, F.col("c_custkey").cast("long").alias("at"), F.concat_ws(";", "c_name", "c_custkey", F.lit("x")).alias("value"))
+    _write_text(above.unionByName(body), path)
+    read = sheets.read_sheets(v.spark, path)
+    of = F.regexp_extract("source_file", "part=([0-9]+)", 1).cast("long").alias("part")
+    counts = read.records.select(of).groupBy("part").agg(F.count("*").alias("n_records"))
+    told = read.layouts.select(of, F.lit("read").alias("verdict")).unionByName(read.rejects.select(of, F.col("reason").alias("verdict")))
+    return told.join(counts, "part", "left").select("part", "verdict", F.coalesce("n_records", F.lit(0)).alias("n_records"))
+
+
+@query("""SELECT cast(record_id AS VARCHAR) AS record_id, coalesce(scientificName, '') AS scientificName, coalesce(locality, '') AS locality,
+ coalesce(status, '') AS status, '' AS criteria, 'Nome' AS label FROM v_records""")
+def export_rows(v):
+    """The sheet written for export and read as text, with its label row."""
+    path = _folder(v)
+    model = [*_SHEET_COLUMNS, "criteria"]
+    sinks.write_standardized(sheets.with_labels(v.records, {"scientificName": "Nome"}), path, model)
+    rows = v.spark.read.csv(f"{path}/rows", header=True, escape='"').select(*[F.coalesce(c, F.lit("")).alias(c) for c in model])
+    label = v.spark.read.csv(f"{path}/labels", header=True).first()["scientificName"]
+    return rows.withColumn("label", F.lit(label))
+
+
+@query("""SELECT 'auditoria' AS sheet, coalesce(queryName, '') AS queryName, matchType FROM r_audit
+ UNION ALL SELECT 'nao_resolvidos', coalesce(queryName, ''), matchType FROM r_audit WHERE matchType IN ('ambiguous','not_found') OR NOT {0} OR NOT {1} OR {2}""".format(
+    R.filled("taxonID"), R.filled("kingdom"), R.QUALIFIED.format(x="originalName")))
+def audit_export(v):
+    path = _folder(v)
+    sinks.write_audit(write_stage(audit(v)), path)
+    read = lambda s: v.spark.read.csv(f"{path}/{s}", header=True, escape='"', multiLine=True).select(F.lit(s).alias("sheet"), F.coalesce("queryName", F.lit("")).alias("queryName"), "matchType")
+    return read("auditoria").unionByName(read("nao_resolvidos"))
+
+
 # --- areas ----------------------------------------------------------------
 
 @query("SELECT record_id, area FROM r_linked")
@@ -552,12 +661,12 @@ def occurrence_counts(v):
     return occs.distinct_counts(occs.by_taxon(near_points(v)), ["area", "taxon"])
 
 
-@query("""SELECT taxonKey, key, gbif_status FROM (SELECT cast(taxonKey AS VARCHAR) AS taxonKey, cast(key AS VARCHAR) AS key,
- row_number() OVER (PARTITION BY taxonKey ORDER BY cast(key AS VARCHAR), decimalLongitude, decimalLatitude, datasetKey) AS rn,
- CASE WHEN count(*) OVER (PARTITION BY taxonKey) > 20 THEN 'truncated' ELSE 'complete' END AS gbif_status FROM v_occ) WHERE rn <= 20""")
+@query("""SELECT area, taxon, key, gbif_status FROM (SELECT area, taxon, key,
+ row_number() OVER (PARTITION BY area, taxon ORDER BY key, decimalLongitude, decimalLatitude, datasetKey) AS rn,
+ CASE WHEN count(*) OVER (PARTITION BY area, taxon) > 3 THEN 'truncated' ELSE 'complete' END AS gbif_status FROM r_taxon) WHERE rn <= 3""")
 def capped_occurrences(v):
-    page = occs.first_page(occurrences(v), ["taxonKey"], 20)
-    return page.select("taxonKey", "key", "gbif_status")
+    page = occs.first_page(write_stage(occs.by_taxon(near_points(v))), ["area", "taxon"], 3)
+    return page.select("area", "taxon", "key", "gbif_status")
 
 
 @query("""SELECT x.area, x.scientificName AS species, d.key FROM

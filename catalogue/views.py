@@ -90,11 +90,17 @@ FROM (SELECT l_orderkey * 10 + l_linenumber AS key, l_partkey AS taxonKey,
   concat('ds-', l_suppkey % 5) AS datasetKey FROM lineitem) o
 LEFT JOIN v_taxa t ON t.k = o.taxonKey
 LEFT JOIN (SELECT usageKey, genus FROM v_backbone WHERE rank = 'GENUS') g ON g.genus = t.genus""",
+    # Odd areas have a second part close by, so that a point can be near both;
+    # even ones are wide and have a hole wider than two buffers.
+    "v_area_shapes": """
+SELECT n_nationkey AS k, 0 AS part, 0 AS ring, 0.0 AS d, CASE WHEN n_nationkey % 2 = 0 THEN 0.5 ELSE 0.1 END AS w FROM nation WHERE n_nationkey < 5
+UNION ALL SELECT n_nationkey, 0, 1, 0.1, 0.3 FROM nation WHERE n_nationkey < 5 AND n_nationkey % 2 = 0
+UNION ALL SELECT n_nationkey, 1, 0, 0.13, 0.06 FROM nation WHERE n_nationkey < 5 AND n_nationkey % 2 = 1""",
     "v_area_vertices": """
-SELECT concat('Fazenda ', n.n_nationkey) AS area, 0 AS part, 0 AS ring, s.seq,
- cast(-49.5 + n.n_nationkey * 0.7 + CASE WHEN s.seq IN (1,2) THEN 0.1 ELSE 0.0 END AS DOUBLE) AS lon,
- cast(-23.5 + n.n_nationkey * 0.6 + CASE WHEN s.seq IN (2,3) THEN 0.1 ELSE 0.0 END AS DOUBLE) AS lat
-FROM nation n CROSS JOIN (SELECT r_regionkey AS seq FROM region) s WHERE n.n_nationkey < 5""",
+SELECT concat('Fazenda ', n.k) AS area, n.part, n.ring, s.seq,
+ cast(-49.5 + n.k * 0.7 + n.d + CASE WHEN s.seq IN (1,2) THEN n.w ELSE 0.0 END AS DOUBLE) AS lon,
+ cast(-23.5 + n.k * 0.6 + n.d + CASE WHEN s.seq IN (2,3) THEN n.w ELSE 0.0 END AS DOUBLE) AS lat
+FROM v_area_shapes n CROSS JOIN (SELECT r_regionkey AS seq FROM region) s""",
     # One small plot per customer: a study-area table that grows with the data.
     "v_plot_vertices": """
 SELECT concat('Plot ', c.c_custkey) AS area, 0 AS part, 0 AS ring, s.seq,

@@ -13,11 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import hot_keys, split_join
+from ..session import write_stage
+from .joins import both_hot, hot_keys, split_join
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
+# Rows of one signature that one task should hold on a side; each meets each.
+SIGNATURE_ROWS = 50_000
+
+
 def edit_budget(name: Column, max_distance: float = 0.1) -> Column:
     return F.ceil(F.round(F.length(name) * F.lit(max_distance), 9)).cast("int")
 
@@ -92,8 +97,13 @@ def target_index(targets: DataFrame, name: str, max_distance: float = 0.1) -> Da
     ).drop("_t", "_n", "_i")
 
 
-def query_signatures(queries: DataFrame, name: str, max_distance: float = 0.1) -> DataFrame:
-    """Every substring of a query that can equal a segment of some target."""
+def query_signatures(queries: DataFrame, name: str, max_distance: float = 0.1, lengths: DataFrame | None = None) -> DataFrame:
+    """Every substring of a query that can equal a segment of some target.
+
+    ``lengths`` (``_n``) holds the lengths that targets have. Others have no
+    match, so nothing is made for them: a page of text in a name cell costs what
+    the targets of about its length ask for, which is mostly nothing.
+    """
     df = queries.select(
         "*",
         F.length(F.col(name)).alias("_l"),
@@ -105,6 +115,8 @@ def query_signatures(queries: DataFrame, name: str, max_distance: float = 0.1) -
     df = df.withColumn(
         "_n", F.explode(F.sequence(F.greatest(F.lit(1), length - t), length + t))
     )
+    if lengths is not None:
+        df = df.join(lengths, "_n", "left_semi")
     df = df.withColumn("_i", F.explode(F.sequence(F.lit(1), t + 1)))
     n, i = F.col("_n"), F.col("_i")
     df = df.withColumn("_start", _segment_start(i, n, t)).withColumn(
@@ -134,8 +146,10 @@ def fuzzy_pairs(
     targets share (a species-rich genus) are split over tasks. A pair that meets
     on two segments shows twice; the reductions that follow do not mind.
     """
-    index = target_index(targets, target, max_distance)
-    wanted = query_signatures(queries, query, max_distance)
+    # Both feed the counts of hot signatures and the join: built once.
+    lengths = write_stage(targets.select(F.length(target).alias("_n")).distinct())
+    index = write_stage(target_index(targets, target, max_distance))
+    wanted = write_stage(query_signatures(queries, query, max_distance, lengths))
     # A pair that shares its first segment meets there; it is not tested again
     # on the later ones.
     again = F.coalesce(F.col("_head") == F.col("_target_head"), F.lit(False))
@@ -148,8 +162,8 @@ def fuzzy_pairs(
     if keep is not None:
         within = keep & within
     # A signature can be common among the targets, the queries, or both.
-    hot = hot_keys(index, ["_sig"]).unionByName(hot_keys(wanted, ["_sig"])).distinct()
-    pairs = split_join(index, wanted, ["_sig"], hot, how="inner", residual=within, splits=8, right_splits=4)
+    hot = both_hot(hot_keys(index, ["_sig"], rows=SIGNATURE_ROWS), hot_keys(wanted, ["_sig"], rows=SIGNATURE_ROWS), ["_sig"])
+    pairs = split_join(index, wanted, ["_sig"], hot, how="inner", residual=within, nulls=False)
     return pairs.withColumn("distance", F.levenshtein(F.col(query), F.col(target))).select(
         *queries.columns, *targets.columns, "distance"
     )

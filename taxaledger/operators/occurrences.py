@@ -53,11 +53,11 @@ def dedupe(points: DataFrame, group: list[str]) -> DataFrame:
 
 def distinct_counts(points: DataFrame, group: list[str]) -> DataFrame:
     """Records per group after ``dedupe``, without building the rows."""
-    whole = F.struct(*[c for c in points.columns if c not in group])
-    slim = points.select(*group, F.when(is_filled("key"), F.col("key")).alias("_k"), F.xxhash64(whole).alias("_row"))
+    rest = [c for c in points.columns if c not in group]
+    slim = points.select(*group, F.when(is_filled("key"), F.col("key")).alias("_k"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(rest)])
     # Two levels: first one row per identity, then the group.
     return (
-        slim.groupBy(*group, "_k", "_row").agg(F.lit(1).alias("_one"))
+        slim.groupBy(*slim.columns).agg(F.lit(1).alias("_one"))
         .groupBy(*group, "_k").agg(F.count(F.lit(1)).alias("_rows"))
         .groupBy(*group).agg(
             F.count(F.lit(1)).alias("_ids"), F.sum("_rows").alias("_rows"),
@@ -96,7 +96,7 @@ def points_of_names(points: DataFrame, wanted: DataFrame, group: list[str]) -> D
     """
     asked = wanted.select(*group, "scientificName").distinct()
     hot = hot_keys(points, group)
-    return split_join(points, asked, group, hot, how="inner").withColumnRenamed("scientificName", "species")
+    return split_join(points, asked, group, hot, how="inner", nulls=False).withColumnRenamed("scientificName", "species")
 
 
 def map_points(points: DataFrame, species: DataFrame | None = None, areas: list[str] | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ def polygon_parts(vertices: DataFrame, keys: list[str]) -> DataFrame:
     edges = here.join(nxt, [*ring, "seq"], "left").select(
         *keys, "part",
         F.struct(
-            "x1", "y1", F.coalesce("x2", "x1").alias("x2"), F.coalesce("y2", "y1").alias("y2"),
+            "x1", "y1", F.coalesce("x2", "x1").alias("x2"), F.coalesce("y2", "y1").alias("y2"), "ring",
         ).alias("edge"),
         (F.col("x2").isNotNull() | (F.col("seq") == 0)).alias("real"),
     )
@@ -49,26 +49,29 @@ def polygon_parts(vertices: DataFrame, keys: list[str]) -> DataFrame:
 def area_zone(parts: DataFrame, key: str = "area") -> DataFrame:
     """``area, epsg``: metric zone of the centroid of all parts of an area.
 
-    Signed-area weights over all edges of all parts, so holes count off; an
-    area without extent falls back to the mean of its vertices.
+    The first ring of a part counts on and its other rings, the holes, count
+    off, whichever way each is wound; an area without extent falls back to the
+    mean of its vertices.
     """
-    e = parts.select(key, F.explode("edges").alias("e"), F.transform("edges", lambda x: x)[0].alias("o"))
+    e = parts.select(key, "part", F.explode("edges").alias("e"), F.get("edges", F.lit(0)).alias("o"))
     # Relative to the part's first vertex, to keep the digits.
     x1, y1 = F.col("e.x1") - F.col("o.x1"), F.col("e.y1") - F.col("o.y1")
     x2, y2 = F.col("e.x2") - F.col("o.x1"), F.col("e.y2") - F.col("o.y1")
     cross = x1 * y2 - x2 * y1
     per_part = e.select(
-        key, F.col("o.x1").alias("ox"), F.col("o.y1").alias("oy"), F.col("e.x1").alias("vx"), F.col("e.y1").alias("vy"),
+        key, "part", F.col("e.ring").alias("ring"), F.col("o.x1").alias("ox"), F.col("o.y1").alias("oy"),
+        F.col("e.x1").alias("vx"), F.col("e.y1").alias("vy"),
         cross.alias("c"), (cross * (x1 + x2)).alias("cx"), (cross * (y1 + y2)).alias("cy"),
-    ).groupBy(key, "ox", "oy").agg(
+    ).groupBy(key, "part", "ring", "ox", "oy").agg(
         F.sum("c").alias("c"), F.sum("cx").alias("cx"), F.sum("cy").alias("cy"),
         F.sum("vx").alias("sx"), F.sum("vy").alias("sy"), F.count(F.lit(1)).alias("n"),
     )
-    weight = F.abs(F.col("c"))
+    side = F.when(F.col("ring") == 0, 1.0).otherwise(-1.0)
+    weight = side * F.abs(F.col("c"))
     sums = per_part.groupBy(key).agg(
         F.sum(weight).alias("w"),
-        F.sum(weight * F.col("ox") + F.signum("c") * F.col("cx") / 3).alias("x"),
-        F.sum(weight * F.col("oy") + F.signum("c") * F.col("cy") / 3).alias("y"),
+        F.sum(weight * F.col("ox") + side * F.signum("c") * F.col("cx") / 3).alias("x"),
+        F.sum(weight * F.col("oy") + side * F.signum("c") * F.col("cy") / 3).alias("y"),
         F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), F.sum("n").alias("n"),
     )
     lon = F.when(F.col("w") > 0, F.col("x") / F.col("w")).otherwise(F.col("sx") / F.col("n"))
@@ -124,6 +127,16 @@ def part_cells(parts: DataFrame, metres: float) -> DataFrame:
     return cells.withColumn("edges", local).where(F.size("edges") > 0).drop("_w", "_e", "_s", "_n", "_pl")
 
 
+def area_cells(parts: DataFrame, metres: float, key: str = "area") -> DataFrame:
+    """One row per area and cell, with the local edges of each of its parts.
+
+    Any number of parts of an area can lie near a cell; together they are one
+    row, so a point meets an area once.
+    """
+    cells = part_cells(parts, metres)
+    return cells.groupBy(key, "epsg", "cell_x", "cell_y").agg(F.collect_list("edges").alias("parts"))
+
+
 def inside(lon: Column, lat: Column, edges: Column) -> Column:
     """Even-odd test of a point against the edges of a part."""
     return (
@@ -153,35 +166,48 @@ def near_outline(lon: Column, lat: Column, edges: Column, epsg: Column, metres:
     return F.get(F.transform(F.array(project(lon, lat, epsg)), test), F.lit(0))
 
 
+def within_cells(points: DataFrame, cells: DataFrame, lon: str, lat: str) -> DataFrame:
+    """Points in the box around all cells: four numbers, which reach the scan as literals."""
+    box = cells.agg(F.min("cell_x"), F.max("cell_x"), F.min("cell_y"), F.max("cell_y")).first()
+    if box[0] is None:
+        return points.where(F.lit(False))
+    west, east, south, north = box[0], box[1] + 1, box[2], box[3] + 1
+    return points.where(
+        (F.col(lon) >= west / CELLS_PER_DEGREE) & (F.col(lon) <= east / CELLS_PER_DEGREE)
+        & (F.col(lat) >= south / CELLS_PER_DEGREE) & (F.col(lat) <= north / CELLS_PER_DEGREE)
+    )
+
+
 def candidates(points: DataFrame, cells: DataFrame, lon: str, lat: str) -> DataFrame:
-    """Point and part rows that share a cell, before the exact test."""
-    placed = points.withColumn("cell_x", _cell(F.col(lon))).withColumn("cell_y", _cell(F.col(lat)))
-    return lookup_join(placed, cells, ["cell_x", "cell_y"], how="inner", weight=1 + F.size("edges"))
+    """Point and area rows that share a cell, before the exact test."""
+    placed = within_cells(points, cells, lon, lat)
+    placed = placed.withColumn("cell_x", _cell(F.col(lon))).withColumn("cell_y", _cell(F.col(lat)))
+    weight = 1 + F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p))
+    return lookup_join(placed, cells, ["cell_x", "cell_y"], how="inner", weight=weight, nulls=False)
+
+
+def _hit(lon: Column, lat: Column, metres: float) -> Column:
+    """Inside, or within ``metres`` of, any part of the area of a cell row."""
+    if metres > 0:
+        return F.exists("parts", lambda p: inside(lon, lat, p) | near_outline(lon, lat, p, F.col("epsg"), metres))
+    return F.exists("parts", lambda p: inside(lon, lat, p) | on_outline(lon, lat, p))
 
 
 def points_near(points: DataFrame, cells: DataFrame, metres: float,
                 lon: str = "decimalLongitude", lat: str = "decimalLatitude") -> DataFrame:
-    """Points inside a part or within ``metres`` of it, with the part's keys.
+    """Points inside an area or within ``metres`` of it, once per point row and area.
 
-    A point near two parts of an area shows twice; callers reduce per area.
-    ``cells`` is a written ``part_cells`` table.
+    ``cells`` is a written ``area_cells`` table.
     """
     met = candidates(points, cells, lon, lat)
-    x, y = F.col(lon), F.col(lat)
-    hit = inside(x, y, F.col("edges"))
-    if metres > 0:
-        hit = hit | near_outline(x, y, F.col("edges"), F.col("epsg"), metres)
-    else:
-        hit = hit | on_outline(x, y, F.col("edges"))
-    return met.where(hit).drop("cell_x", "cell_y", "edges", "epsg")
+    return met.where(_hit(F.col(lon), F.col(lat), metres)).drop("cell_x", "cell_y", "parts", "epsg")
 
 
 def overfetch(points: DataFrame, cells: DataFrame, metres: float,
               lon: str = "decimalLongitude", lat: str = "decimalLatitude") -> DataFrame:
     """``area, candidates, hits``: how many cell candidates the exact test kept."""
     met = candidates(points, cells, lon, lat)
-    x, y = F.col(lon), F.col(lat)
-    hit = inside(x, y, F.col("edges")) | near_outline(x, y, F.col("edges"), F.col("epsg"), metres)
+    hit = _hit(F.col(lon), F.col(lat), metres)
     return met.groupBy("area").agg(
         F.count(F.lit(1)).alias("candidates"), F.count_if(hit).alias("hits")
     )

@@ -19,7 +19,7 @@ from ..operators.occurrences import (
     by_taxon, dedupe, distinct_counts, first_page, points_of_names,
 )
 from ..operators.spatial import (
-    area_zone, areas_over_regions, part_cells, points_near, region_lists,
+    area_cells, area_zone, areas_over_regions, points_near, region_lists,
 )
 from ..operators.threat import backbone_keys
 from ..schema import BUFFER_METRES
@@ -41,12 +41,12 @@ class GeoResult:
 def buffer_cells(area_parts: DataFrame, metres: float = BUFFER_METRES) -> DataFrame:
     """The written cell table of the areas, each in its own metric zone."""
     zoned = area_parts.join(area_zone(area_parts), "area")
-    return write_stage(part_cells(zoned, metres))
+    return write_stage(area_cells(zoned, metres))
 
 
 def occurrences_near(occ: DataFrame, cells: DataFrame, metres: float = BUFFER_METRES) -> DataFrame:
-    """``area`` and the parsed occurrence columns, once per record and area part."""
-    return points_near(occ, cells, metres).drop("part")
+    """``area`` and the parsed occurrence columns, once per record and area."""
+    return points_near(occ, cells, metres)
 
 
 def verify_distribution(
@@ -72,7 +72,7 @@ def verify_distribution(
     if not fits_broadcast(taxa):
         # The split join looks at its left side twice; scan the occurrences once.
         near = write_stage(near)
-    found = lookup_join(near, taxa, ["area", "taxon"], how="left_semi")
+    found = lookup_join(near, taxa, ["area", "taxon"], how="left_semi", nulls=False)
     if page is not None:
         found = first_page(found, ["area", "taxon"], page)
         cut = found.select("area", "taxon", "gbif_status").distinct()

@@ -36,12 +36,16 @@ def local_session(app: str = "taxaledger", cores: str = "*", partitions: int = 8
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's checkpoint folder.
 
-    ``spark.checkpoint.dir`` names storage that every executor sees. Only where
-    it is unset (a test on one machine) a temporary folder takes its place.
+    ``spark.checkpoint.dir``, or what ``SparkContext.setCheckpointDir`` was
+    given, names storage that every executor sees. Only where both are unset in
+    a session on one machine a temporary folder takes their place; on a cluster
+    each executor would write to its own disk, so there it is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     held = spark.conf.get("taxaledger.local.dir", None)
     if held is None:
         held = tempfile.mkdtemp(prefix="taxaledger-")
@@ -49,6 +53,21 @@ def shared_folder(spark: SparkSession) -> str:
     return held
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_folder(spark)}/taxaledger-{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables.
+
+    To be called once all results are written: a result that was only planned
+    still reads them.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -57,6 +76,6 @@ def write_stage(df: DataFrame) -> DataFrame:
     tells the planner its real size.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

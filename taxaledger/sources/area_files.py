@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_filled
@@ -12,6 +13,9 @@ from .listing import empty_files
 
 MAX_BYTES = 200 * 1024 * 1024
 
+# Words, in lower case, that no area file may hold.
+BANNED_WORDS = ("<!doctype", "<!entity", "ogrvrtdatasource", "networklink")
+
 _RING = "struct<LinearRing: struct<coordinates: string>>"
 _POLYGON = f"struct<outerBoundaryIs: {_RING}, innerBoundaryIs: array<{_RING}>>"
 _POINT = "struct<coordinates: string>"
@@ -54,8 +58,11 @@ def check_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> D
     )
     text = F.replace(F.decode("content", "UTF-8"), F.lit("\u0000"), F.lit(""))
     head = F.regexp_replace(text, r"(?s)<\?.*?\?>|<!--.*?-->", "")
-    root = F.regexp_replace(head, "^﻿", "").rlike(r"^\s*<([A-Za-z_][A-Za-z0-9_.-]*:)?kml[\s>/]")
-    banned = text.rlike(r"(?i)<!DOCTYPE|<!ENTITY|OGRVRTDataSource|NetworkLink")
+    # The first tag's name, without its prefix.
+    tag = F.regexp_extract(F.regexp_replace(head, "^﻿", ""), r"^\s*<([^\s>/]+)", 1)
+    root = F.element_at(F.split(tag, ":"), -1) == "kml"
+    lowered = F.lower(text)
+    banned = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in BANNED_WORDS])
     content = files.where(kml & F.col("length").between(1, max_bytes)).select(
         "path", F.when(~root, "not a KML document").when(banned, "has a DTD, an entity, a VRT or a NetworkLink").alias("content_reason"),
     )
@@ -89,16 +96,21 @@ def placemark_vertices(marks: DataFrame) -> DataFrame:
     parts = marks.select("path", F.monotonically_increasing_id().alias("m"), F.posexplode(shapes).alias("i", "s"))
     outlined = parts.groupBy("path").agg(F.max("s.polygon").alias("outlined"))
     parts = parts.join(outlined, "path").where(F.col("s.polygon") == F.col("outlined"))
-    rings = parts.select("path", (F.col("m") * 10_000 + F.col("i")).alias("part"), F.posexplode("s.rings").alias("ring", "r"))
+    # Shapes of a file in the order of its placemarks: one file's shapes at a time.
+    order = Window.partitionBy("path").orderBy("m", "i")
+    rings = parts.withColumn("part", F.row_number().over(order) - 1).select("path", "part", F.posexplode("s.rings").alias("ring", "r"))
     points_ = rings.select("path", "part", "ring", F.posexplode("r").alias("seq", "v"))
     return points_.select(area_name(F.col("path")).alias("area"), "part", "ring", "seq", "v.lon", "v.lat").where(
         F.col("lon").isNotNull() & F.col("lat").isNotNull()
     )
 
 
-def read_areas(spark: SparkSession, path: str) -> AreaFiles:
-    """All areas of a folder, and the files that were refused and why."""
-    checked = check_files(spark, path)
+def read_areas(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> AreaFiles:
+    """All areas of a folder, and the files that were refused and why.
+
+    ``max_bytes``: larger files are refused and reported.
+    """
+    checked = check_files(spark, path, max_bytes)
     marks = (
         spark.read.format("xml").option("rowTag", "Placemark").option("ignoreNamespace", "true").option("pathGlobFilter", "*.kml")
         .schema(PLACEMARK).load(path).select("*", F.col("_metadata.file_path").alias("path"))

@@ -40,40 +40,41 @@ LABEL_ROWS = ("nome cientifico", "scientificname", "supplied name")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, value`` of text files; ``line_no`` grows along each file."""
+    """``file, line_no, value`` of text files; ``line_no`` grows along each file."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"),
                                          F.col("_metadata.file_block_start").alias("b"))
     lines = lines.withColumn("i", F.monotonically_increasing_id())
     first = lines.groupBy("f", "b").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
     # Blocks are few; lines before a block is a running sum over them.
-    w = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offset = first.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
     return lines.join(offset, ["f", "b"]).select(
+        F.col("f").alias("file"),
         (F.col("before") + F.col("i") - F.col("first")).alias("line_no"),
         F.regexp_replace("value", "^﻿", "").alias("value"),
     )
 
 
 def carry_forward(lines: DataFrame, marker: Column, name: str, chunk_lines: int = 100_000) -> DataFrame:
-    """Adds ``name``: the last non-null ``marker`` at or before each line.
+    """Adds ``name``: the last non-null ``marker`` at or before each line of its file.
 
-    The file is cut into chunks of lines. Each chunk hands its last marker to
+    A file is cut into chunks of lines. Each chunk hands its last marker to
     the later ones through a table with one row per chunk, so no task ever
     sees more than a chunk.
     """
     lines = lines.withColumn("_m", marker).withColumn("_chunk", F.floor(F.col("line_no") / chunk_lines))
-    ends = lines.groupBy("_chunk").agg(F.max_by("_m", F.when(F.col("_m").isNotNull(), F.col("line_no"))).alias("_end"))
-    earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("_chunk", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
-    inside = Window.partitionBy("_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    out = lines.join(ends, "_chunk").withColumn(
+    ends = lines.groupBy("file", "_chunk").agg(F.max_by("_m", F.when(F.col("_m").isNotNull(), F.col("line_no"))).alias("_end"))
+    earlier = Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "_chunk", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    inside = Window.partitionBy("file", "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    out = lines.join(ends, ["file", "_chunk"]).withColumn(
         name, F.coalesce(F.last("_m", ignorenulls=True).over(inside), F.col("_before"))
     )
     return out.drop("_m", "_chunk", "_before")
 
 
 def threatened_rows(lines: DataFrame, annexes: dict[str, str] = ANNEX_SOURCES) -> DataFrame:
-    """``line_no, scientificName, match_key, category, source`` of list text.
+    """``file, line_no, scientificName, match_key, category, source`` of list text.
 
     A row is ``| id | ... | species | category |``; the annex marker above it
     says which act it belongs to. Anything else is skipped.
@@ -89,7 +90,7 @@ def threatened_rows(lines: DataFrame, annexes: dict[str, str] = ANNEX_SOURCES) -
     last = F.array_max(F.transform("_c", lambda c, i: F.when(c != "", i)))
     rows = rows.withColumn("_n", F.coalesce(last, F.lit(-1)) + 1).where("_n >= 3")
     rows = rows.select(
-        "line_no", "source", F.get("_c", F.lit(0)).alias("_id"),
+        "file", "line_no", "source", F.get("_c", F.lit(0)).alias("_id"),
         F.get("_c", F.col("_n") - 2).alias("scientificName"), F.get("_c", F.col("_n") - 1).alias("category"),
     )
     rows = rows.where(
@@ -97,7 +98,7 @@ def threatened_rows(lines: DataFrame, annexes: dict[str, str] = ANNEX_SOURCES) -
         & F.col("scientificName").rlike(r"^[A-Z]\S*\s+\S")
     )
     return rows.select(
-        "line_no", "scientificName", match_key(normalize_name("scientificName")).alias("match_key"),
+        "file", "line_no", "scientificName", match_key(normalize_name("scientificName")).alias("match_key"),
         F.when(F.col("category") == "CR (PE)", "CR (PEX)").otherwise(F.col("category")).alias("category"), "source",
     )
 
@@ -166,6 +167,15 @@ def harmonize_labels(layer: DataFrame, column: str, labels: dict[str, str] = BIO
     return mapped.withColumn(column, F.col("_label")).drop("_label"), unmapped
 
 
+def require_labels(layer: DataFrame, column: str, labels: dict[str, str] = BIOME_LABELS) -> DataFrame:
+    """The layer with mapped labels; a label without a mapping is an error."""
+    mapped, unmapped = harmonize_labels(layer, column, labels)
+    missing = [r[0] for r in unmapped.limit(5).collect()]
+    if missing:
+        raise ValueError(f"labels without a mapping: {missing}")
+    return mapped
+
+
 def reference_profile(tables: dict[str, tuple[DataFrame, Column, str | None]]) -> DataFrame:
     """``label, source, n_rows, n_taxa, version`` per table and source.
 

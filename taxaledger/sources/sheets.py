@@ -23,8 +23,6 @@ NAME_KEY = "scientificName"
 DELIMITERS = ("\t", ";", ",", "|")
 PROBE_LINES = 20
 HEADER_ROWS = 30
-# Physical lines of a file that can hold its first 30 rows.
-HEAD_LINES = 400
 
 
 @dataclass(frozen=True)
@@ -46,13 +44,19 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_heads(lines: DataFrame) -> DataFrame:
-    """``source_file, lines``: the first lines of each file, in order, no BOM.
+    """``source_file, lines``: the lines of each file's first rows, in order, no BOM.
 
-    Only the first block of a file can hold them, and the per-file limit is
-    applied before anything moves.
+    A row ends at a line where all quotes are closed, however many lines its
+    cells take; blank rows do not count. Rows are counted over the first block
+    of the file, so what one task holds of a file is a block at most.
     """
-    order = Window.partitionBy("source_file").orderBy("id")
-    first = lines.where("block = 0").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= HEAD_LINES)
+    upto = Window.partitionBy("source_file").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("source_file").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    first = lines.where("block = 0").withColumn("_open", F.sum(quotes).over(upto) % 2)
+    ends = F.when((F.col("_open") == 0) & is_filled("value"), 1).otherwise(0)
+    first = first.withColumn("rn", F.row_number().over(Window.partitionBy("source_file").orderBy("id")))
+    first = first.withColumn("_rows", F.coalesce(F.sum(ends).over(before), F.lit(0))).where(F.col("_rows") < HEADER_ROWS)
     heads = first.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("l"))
     return heads.select(
         "source_file",
@@ -155,14 +159,25 @@ def _read_layout(spark: SparkSession, paths: list[str], delimiter: str, multi_li
     rows = rows.select(
         *[F.col(f"_c{pos}").alias(name) for name, pos in columns],
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"),
-    ).withColumn("_id", F.monotonically_increasing_id())
-    # Rows of a file's first block are numbered in order within one task, so the
-    # header and what is above it are the first ``header_row`` of them.
-    starts = rows.where("_block = 0").groupBy("source_file").agg(F.min("_id").alias("_first"))
-    body = rows.join(starts, "source_file").where((F.col("_block") > 0) | (F.col("_id") - F.col("_first") >= header_row))
-    names = [name for name, _ in columns]
-    kept = body.where(reduce(lambda a, b: a | b, [is_filled(F.col(f"`{n}`")) for n in names]))
-    return kept.select(*[F.col(f"`{n}`") for n in names], "source_file", F.col("_id").alias("seq"))
+    ).withColumn("_id", F.monotonically_increasing_id()).withColumn("_header", F.lit(header_row))
+    return rows
+
+
+def _numbered(rows: DataFrame, model: list[str]) -> DataFrame:
+    """Records below each header, with a ``seq`` that is unique over all files.
+
+    Rows of a block are numbered in order within one task. What stands before a
+    block is a running sum over the blocks, which are few; a row meets its
+    block's line, so no key holds more than a block.
+    """
+    block = ["source_file", "_block"]
+    blocks = rows.groupBy(*block).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    placed = rows.join(blocks, block).withColumn("_at", F.col("_id") - F.col("_first"))
+    body = placed.where((F.col("_block") > 0) | (F.col("_at") >= F.col("_header")))
+    kept = body.where(reduce(lambda a, b: a | b, [is_filled(F.col(f"`{n}`")) for n in model]))
+    return kept.select(*[F.col(f"`{n}`") for n in model], "source_file", (F.col("_before") + F.col("_at")).alias("seq"))
 
 
 def read_sheets(spark: SparkSession, path: str, key: str = NAME_KEY) -> Sheets:
@@ -188,8 +203,12 @@ def read_sheets(spark: SparkSession, path: str, key: str = NAME_KEY) -> Sheets:
         for g in groups
     ]
     records = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    model = [c for c in records.columns if c not in ("source_file", "seq")]
-    return Sheets(records.select(*model, "source_file", "seq"), layouts, rejects)
+    model = [c for c in records.columns if c not in ("source_file", "_block", "_id", "_header")]
+    # A column's label is that of the first file that has one.
+    said = layouts.select("source_file", F.explode(F.arrays_zip(F.col("columns.name").alias("name"), "labels")).alias("x"))
+    said = said.where(is_filled("x.labels")).groupBy("x.name").agg(F.min_by("x.labels", "source_file").alias("label"))
+    labels = {r["name"]: r["label"] for r in said.collect()}
+    return Sheets(with_labels(_numbered(records, model), labels), layouts, rejects)
 
 
 def with_labels(records: DataFrame, labels: dict[str, str]) -> DataFrame:

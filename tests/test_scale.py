@@ -24,9 +24,9 @@ def edits(a, b):
 
 def test_hot_keys_are_few_and_right(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 900).alias("k"))
-    assert [r["k"] for r in J.hot_keys(df, ["k"], share=0.1).collect()] == [None]
+    assert [r["k"] for r in J.hot_keys(df, ["k"], rows=300).collect()] == [None]
     weighted = df.groupBy("k").agg(F.count("*").alias("n"))
-    assert [r["k"] for r in J.hot_keys(weighted, ["k"], weight="n", share=0.1).collect()] == [None]
+    assert [r["k"] for r in J.hot_keys(weighted, ["k"], weight="n", rows=300).collect()] == [None]
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
@@ -47,7 +47,7 @@ def test_split_join_spreads_the_hot_key(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        out = J.split_join(left, right, ["k"], J.hot_keys(left, ["k"]))
+        out = J.split_join(left, right, ["k"], J.hot_keys(left, ["k"], rows=500))
         sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -58,8 +58,9 @@ def test_split_join_spreads_the_hot_key(spark):
 def test_both_sides_split_meet_once(spark):
     left = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 7).alias("k"))
     right = spark.range(200).select(F.col("id").alias("j"), F.when(F.col("id") % 2 > 0, 1).otherwise(F.col("id") % 5).alias("k"))
-    hot = J.hot_keys(left, ["k"], share=0.3)
-    got = J.split_join(left, right, ["k"], hot, how="inner", splits=5, right_splits=3).select("id", "j")
+    hot = J.both_hot(J.hot_keys(left, ["k"], rows=50), J.hot_keys(right, ["k"], rows=40), ["k"])
+    assert {(r["k"], r["_splits"], r["_right_splits"]) for r in hot.collect()} == {(1, 5, 3)}
+    got = J.split_join(left, right, ["k"], hot, how="inner").select("id", "j")
     want = left.join(right, "k").select("id", "j")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -110,7 +111,7 @@ def test_projection_and_buffer_of_a_point(spark):
     assert row["a"]["y"] - row["b"]["y"] == pytest.approx(110704.3 * 0.9996, abs=15)
     vertices = spark.createDataFrame([("p", 0, 0, 0, -47.9, -15.8)], "area string, part int, ring int, seq int, lon double, lat double")
     parts = G.polygon_parts(vertices, ["area"])
-    cells = G.part_cells(parts.join(G.area_zone(parts), "area"), 10_000.0)
+    cells = G.area_cells(parts.join(G.area_zone(parts), "area"), 10_000.0)
     points = spark.createDataFrame([("in", -47.9, -15.8 + 9_900 / 110_650), ("out", -47.9, -15.8 + 10_100 / 110_650), ("east", -47.9 + 9_900 / 107_150, -15.8)],
                                    "key string, decimalLongitude double, decimalLatitude double")
     assert sorted(r["key"] for r in G.points_near(points, cells, 10_000.0).collect()) == ["east", "in"]
@@ -121,7 +122,7 @@ def test_holes_and_cells(spark):
     hole = [(x * 0.5 + 0.25, y * 0.5 + 0.25) for x, y in ring]
     rows = [("a", 0, r, i, -50 + x, -20 + y) for r, vs in enumerate((ring, hole)) for i, (x, y) in enumerate(vs)]
     v = spark.createDataFrame(rows, "area string, part int, ring int, seq int, lon double, lat double")
-    cells = G.part_cells(G.polygon_parts(v, ["area"]), 0)
+    cells = G.area_cells(G.polygon_parts(v, ["area"]).withColumn("epsg", F.lit(5880)), 0)
     rng = random.Random(1)
     pts = [(i, -50.2 + rng.random() * 1.4, -20.2 + rng.random() * 1.4) for i in range(400)]
     p = spark.createDataFrame(pts, "id int, decimalLongitude double, decimalLatitude double")
@@ -129,3 +130,57 @@ def test_holes_and_cells(spark):
     box = lambda x, y, a, b: a < x < b and a < y < b
     want = {i for i, x, y in pts if box(x + 50, y + 20, 0, 1) and not box(x + 50, y + 20, 0.25, 0.75)}
     assert got == want
+
+
+def _square(area, part, ring, x, y, w):
+    return [(area, part, ring, i, x + dx * w, y + dy * w) for i, (dx, dy) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)])]
+
+
+_VERTEX = "area string, part int, ring int, seq int, lon double, lat double"
+
+
+def test_a_record_counts_once_per_area(spark):
+    """Two close parts: a record near both is one record, and a page keeps all."""
+    from taxaledger.operators import occurrences as O
+
+    rows = _square("A", 0, 0, -50.0, -20.0, 0.1) + _square("A", 1, 0, -49.88, -20.0, 0.1)
+    parts = G.polygon_parts(spark.createDataFrame(rows, _VERTEX), ["area"])
+    cells = G.area_cells(parts.join(G.area_zone(parts), "area"), 10_000.0)
+    points = spark.createDataFrame([("1", -49.89, -19.95), ("2", -49.95, -19.95)], "key string, decimalLongitude double, decimalLatitude double")
+    near = G.points_near(points, cells, 10_000.0).withColumn("taxon", F.lit("t")).withColumn("datasetKey", F.lit("d"))
+    assert sorted(r["key"] for r in near.collect()) == ["1", "2"]
+    page = O.first_page(near, ["area", "taxon"], 2).collect()
+    assert sorted((r["key"], r["gbif_status"]) for r in page) == [("1", "complete"), ("2", "complete")]
+
+
+def test_holes_and_their_winding(spark):
+    """A hole counts off however it is wound, and a point deep in it is out."""
+    hole = _square("A", 0, 1, -49.5, -20.0, 0.8)
+    outer = _square("A", 0, 0, -50.0, -20.5, 1.6)
+    points = spark.createDataFrame([("hole", -49.1, -19.6), ("rim", -49.9, -19.6)], "key string, decimalLongitude double, decimalLatitude double")
+    for ring in (hole, [(a, p, r, 4 - i, x, y) for a, p, r, i, x, y in hole]):
+        parts = G.polygon_parts(spark.createDataFrame(outer + ring, _VERTEX), ["area"])
+        zoned = parts.join(G.area_zone(parts), "area")
+        assert zoned.first()["epsg"] == 31982
+        cells = G.area_cells(zoned, 10_000.0)
+        assert [r["key"] for r in G.points_near(points, cells, 10_000.0).collect()] == ["rim"]
+
+
+def test_occurrence_scan_is_pruned(spark, tmp_path):
+    path = str(tmp_path / "occ")
+    spark.range(1000).selectExpr("cast(id as string) as key", "-60.0 + id / 50 as decimalLongitude", "-25.0 + id / 100 as decimalLatitude").write.parquet(path)
+    parts = G.polygon_parts(spark.createDataFrame(_square("A", 0, 0, -50.0, -20.0, 0.1), _VERTEX), ["area"])
+    cells = G.area_cells(parts.join(G.area_zone(parts), "area"), 10_000.0)
+    plan = G.points_near(spark.read.parquet(path), cells, 10_000.0)._jdf.queryExecution().toString()
+    pushed = plan.split("PushedFilters: [")[1]
+    assert "GreaterThanOrEqual(decimalLongitude" in pushed  # the rest of the list is cut in the text
+
+
+def test_a_page_of_text_as_a_name(spark):
+    """It makes signatures only for lengths that targets have."""
+    from taxaledger.operators.fuzzy import query_signatures
+
+    names = spark.createDataFrame([("x" * 10_000,), ("Aus bus",)], "n string")
+    lengths = spark.createDataFrame([(7,), (8,)], "_n int")
+    got = query_signatures(names, "n", 0.1, lengths)
+    assert got.where("length(n) > 100").count() == 0 and got.count() > 0

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from taxaledger.operators import spatial
@@ -87,7 +88,7 @@ def test_kml_areas_and_rejects(spark, tmp_path):
     assert {r["file"] for r in out.rejects.collect()} == {"evil.kml", "dtd.kml", "html.kml", "void.kml", "hollow.kml", "shape.zip"}
     parts = spatial.polygon_parts(out.vertices, ["area"])
     points = spark.createDataFrame([(-49.5, -19.5), (-49.8, -19.8), (-47.0, -22.0)], "decimalLongitude double, decimalLatitude double")
-    cells = spatial.part_cells(parts.where("area = 'Fazenda A'"), 0)
+    cells = spatial.area_cells(parts.where("area = 'Fazenda A'").withColumn("epsg", F.lit(5880)), 0)
     assert [tuple(r)[:2] for r in spatial.points_near(points, cells, 0).collect()] == [(-49.8, -19.8)]
 
 
@@ -105,7 +106,7 @@ def test_threatened_text_and_counts(spark, tmp_path):
 
 
 def test_carry_forward_over_chunks(spark):
-    lines = spark.createDataFrame([(i, "m%d" % i if i in (3, 17) else None) for i in range(40)], "line_no long, m string")
+    lines = spark.createDataFrame([(i, "m%d" % i if i in (3, 17) else None) for i in range(40)], "line_no long, m string").withColumn("file", F.lit("f"))
     out = {r["line_no"]: r["got"] for r in lists.carry_forward(lines, F.col("m"), "got", chunk_lines=4).collect()}
     assert [out[i] for i in (0, 3, 8, 16, 17, 39)] == [None, "m3", "m3", "m3", "m17", "m17"]
 
@@ -137,3 +138,53 @@ def test_failing_source_is_reported(spark):
     held, failures = bases.load_sources(spark, {"b": bad, "a": good})
     assert [s.id for s in held] == ["a"]
     assert [r["provider"] for r in failures.collect()] == ["b"]
+
+
+def test_annex_stays_in_its_file(spark, tmp_path):
+    put(str(tmp_path), "a.txt", "ANEXO 1\n| 1 | Fam | Aus bus Mart. | VU |\n")
+    put(str(tmp_path), "b.txt", "| 2 | Fam | Cus dus | EN |\nANEXO 2\n| 3 | Fam | Eus fus | EN |\n")
+    rows = lists.threatened_rows(lists.numbered_lines(spark, str(tmp_path))).collect()
+    assert {(r["scientificName"], r["source"]) for r in rows} == {("Aus bus Mart.", "Portaria 1.783/2026"), ("Cus dus", None), ("Eus fus", "Portaria 1.704/2026")}
+
+
+def test_unmapped_labels_are_an_error(spark):
+    layer = spark.createDataFrame([("Cerrado",), ("Atlantis",)], "biome string")
+    with pytest.raises(ValueError, match="Atlantis"):
+        lists.require_labels(layer, "biome")
+    assert lists.require_labels(layer.limit(1), "biome").first()[0] == "Cerrado"
+
+
+def test_long_quoted_preamble(spark, tmp_path):
+    """Rows count, not lines: one cell of 421 lines stands above the header."""
+    put(str(tmp_path), "long.csv", '"' + "about\n" * 421 + '"\nscientificName,locality\nAus bus,x\n')
+    out = sheets.read_sheets(spark, str(tmp_path))
+    assert [r["scientificName"] for r in out.records.collect()] == ["Aus bus"] and out.rejects.count() == 0
+
+
+def test_seq_is_unique_and_labels_are_attached(spark, tmp_path):
+    put(str(tmp_path), "a.csv", "Nome;Local\nscientificName;locality\nA b;1\nC d;2\n")
+    put(str(tmp_path), "b.csv", "scientificName,locality\nE f,1\nG h,2\n")
+    rows = sheets.read_sheets(spark, str(tmp_path)).records
+    assert len({r["seq"] for r in rows.collect()}) == 4
+    assert {f.name: f.metadata.get("label") for f in rows.schema.fields}["locality"] == "Local"
+
+
+def test_many_shapes_stay_apart(spark):
+    marks = spark.range(12_000).selectExpr(
+        "'f.kml' as path", "'n' as name",
+        "array(named_struct('outerBoundaryIs', named_struct('LinearRing', named_struct('coordinates', '0,0 0,1 1,1 0,0')), 'innerBoundaryIs', cast(null as array<struct<LinearRing: struct<coordinates: string>>>))) as Polygon",
+        "cast(null as array<struct<coordinates: string>>) as Point", f"cast(null as struct<Polygon: array<{area_files._POLYGON}>, Point: array<{area_files._POINT}>>) as MultiGeometry")
+    assert area_files.placemark_vertices(marks).select("part").distinct().count() == 12_000
+
+
+def test_stages_need_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from taxaledger.session import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=context)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(session)
+    context.getCheckpointDir = lambda: "hdfs://host/shared"
+    assert shared_folder(session) == "hdfs://host/shared"
