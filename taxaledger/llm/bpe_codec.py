@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from taxaledger.llm.segment_tree import SegmentTreeBpe
-from taxaledger.llm.texts import UNIT_SLICE_BYTES, Memo, id_and_text, slices
+from taxaledger.llm.texts import KEPT, UNIT_SLICE_BYTES, Memo, id_and_text, slices
 from taxaledger.llm.wordpiece_units import WordTokenizer, byte_letters, units
 
 #: Units whose ids a Python worker keeps.
@@ -79,6 +79,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+KEPT.append(codec.cache_clear)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every text."""
 

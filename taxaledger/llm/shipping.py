@@ -11,9 +11,17 @@ from pyspark.sql import SparkSession
 import taxaledger
 
 
+#: Rows that Spark hands to Python at once. Texts are long rows: Spark's own
+#: default of 10,000 would be some 30 MB for each core, on both sides.
+ARROW_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
     """Let the workers import the package, as ``--py-files`` would. Once per context."""
     context = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":  # not set by the user
+        spark.conf.set(rows, ARROW_ROWS)
     if getattr(context, "_taxaledger_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(taxaledger.__file__))

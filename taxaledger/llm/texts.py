@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
@@ -31,8 +34,27 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Clears what a tokenizer operator keeps in a Python worker.
+KEPT: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Give the memory of kept tokenizers and memos back to the system.
+
+    Spark uses a Python worker again for other operators; the executor's limit
+    counts what the last one left in it.
+    """
+    for clear in KEPT:
+        clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of ``column`` (or one row)."""
+    if most != UNIT_SLICE_BYTES:
+        release()
     for batch in batches:
         if batch.num_rows == 0:
             continue

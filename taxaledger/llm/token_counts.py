@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaledger.llm.texts import UNIT_SLICE_BYTES, Memo, id_and_text, slices
+from taxaledger.llm.texts import KEPT, UNIT_SLICE_BYTES, Memo, id_and_text, slices
 from taxaledger.llm.wordpiece_units import WordTokenizer, units
 
 CHUNK = 32_768
@@ -82,6 +82,9 @@ def counter(path: str, chunk: int, overlap: int) -> Counter:
     return Counter(path, chunk, overlap)
 
 
+KEPT.append(counter.cache_clear)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every text, without a shuffle."""
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from taxaledger.llm.texts import UNIT_SLICE_BYTES, Memo, id_and_text, slices
+from taxaledger.llm.texts import KEPT, UNIT_SLICE_BYTES, Memo, id_and_text, slices
 from taxaledger.llm.wordpiece_units import BEYOND, byte_letters, latin
 
 BLOCK_IDS = 1 << 16
@@ -126,6 +126,9 @@ def tokenizer(path: str) -> ByteTokenizer:
     return ByteTokenizer(path)
 
 
+KEPT.append(tokenizer.cache_clear)
+
+
 def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 0, kind: str = "byte", id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
     """The rows of ``blocks``: one range shuffle of the texts, then one pass."""
 
