@@ -7,7 +7,9 @@
    none of the 25 buckets with a probability of 5 in 100,000.
 3. No bucket is turned into all its pairs. First each node is compared with the
    smallest node that leads one of its buckets. Links make components; a bucket
-   inside one component is settled. In each of the others a node of its smallest
+   inside one component is settled. In each of the others the members outside
+   its largest component are compared with a node of that component, another one
+   in each bucket, as long as that finds links. Then a node of its smallest
    component is compared with the members of other components and leaves the
    bucket. Once all pairs left over are at most ``LINEAR`` times the nodes, they
    are compared at once. So every pair in a bucket is either compared or already
@@ -42,7 +44,7 @@ from taxaledger.session import write_stage
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 25, 5
-LINEAR = 4
+LINEAR = 1
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
@@ -117,35 +119,41 @@ def _linked(members: DataFrame, held: DataFrame, n_nodes: int, threshold: float)
     pairs = pairs.select(F.col("lead").alias("a"), F.col("node").alias("b"))
     tested = write_stage(similarities(pairs, held))
     comps = write_stage(members.select("node").distinct().withColumn("comp", F.col("node")))
-    new = tested
+    new, by_bucket = tested, True
     while True:
         links = new.filter(F.col("similarity") >= threshold)
         side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
-        joined = links.join(side("a"), "a").join(side("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        merged = components(joined)
-        comps = write_stage(
-            comps.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
-        )
+        joined = write_stage(links.join(side("a"), "a").join(side("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        if joined.limit(1).count():
+            merged = components(joined)
+            comps = write_stage(
+                comps.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+            )
+        else:
+            by_bucket = False  # the buckets' own leaders find no more
         placed = members.join(comps, "node")
-        groups = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min("node").alias("lead"))
-        size = groups.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.min(F.struct("n", "lead", "comp")).alias("least"))
-        size = write_stage(size.filter("comps > 1").select("bucket", "size", "inside", F.col("least.lead").alias("lead"), F.col("least.comp").alias("lead_comp")))
+        groups = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min("node").alias("lead"), F.min_by("node", F.xxhash64("bucket", "node")).alias("any"))
+        size = groups.groupBy("bucket").agg(
+            F.count("*").alias("comps"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("inside"),
+            F.min(F.struct("n", "lead", "comp")).alias("least"), F.max(F.struct("n", "any", "comp")).alias("most"),
+        )
+        chosen = F.struct("most.any", "most.comp") if by_bucket else F.struct(F.col("least.lead").alias("any"), "least.comp")
+        size = write_stage(size.filter("comps > 1").select("bucket", "size", "inside", chosen.alias("c")).select("bucket", "size", "inside", F.col("c.any").alias("lead"), F.col("c.comp").alias("lead_comp")))
         left = size.agg(F.sum((F.col("size") * F.col("size") - F.col("inside")) / 2)).first()[0]
         if not left:
             return comps
-        open_members = placed.join(size.select("bucket", "lead", "lead_comp"), "bucket")
-        last = left <= LINEAR * n_nodes
-        if last:
+        # Settled buckets are left out of all later rounds.
+        placed = write_stage(placed.join(size.select("bucket", "lead", "lead_comp"), "bucket"))
+        if left <= LINEAR * n_nodes:
             other = placed.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            pairs = open_members.join(other, "bucket").filter("node < b and comp <> cb").select(F.col("node").alias("a"), "b")
+            pairs = placed.join(other, "bucket").filter("node < b and comp <> cb").select(F.col("node").alias("a"), "b")
+            members = members.limit(0)
         else:
-            pairs = open_members.filter("comp <> lead_comp").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
-            members = write_stage(open_members.filter("node <> lead").select("bucket", "node"))
-        # Pairs hold the smaller node first, as do those of the first round.
+            pairs = placed.filter("comp <> lead_comp").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
+            # In a round that asked its bucket's smallest component, the leader is done there.
+            members = placed.select("bucket", "node") if by_bucket else placed.filter("node <> lead").select("bucket", "node")
         new = write_stage(similarities(pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), held))
         tested = tested.union(new)
-        if last:
-            members = members.limit(0)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = SIMILAR, row_col: str | None = None) -> DataFrame:
