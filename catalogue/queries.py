@@ -345,10 +345,23 @@ def unmatched_placeholder(v):
     return can.placeholder_rows(missing).select("query_name", "validation_status", "match_count")
 
 
-@query("""SELECT rule, cast(0 AS BIGINT) AS violations FROM (SELECT unnest(['schema','status','only_asked_names','one_row_per_name','named']) AS rule)""")
+R.REFERENCE["r_lengths"] = "SELECT length(query_name) AS n FROM r_names"
+
+
+@query("""SELECT 'schema' AS rule, cast(1 AS BIGINT) AS violations
+ UNION ALL SELECT 'status', (SELECT count(*) FILTER (n % 7 = 0) + count(*) FILTER (n % 35 = 0) + count(*) FILTER (n % 77 = 0) + count(*) FILTER (n % 91 = 0) FROM r_lengths)
+ UNION ALL SELECT 'only_asked_names', (SELECT count(*) FILTER (n % 11 = 0) + count(*) FILTER (n % 13 = 0) FROM r_lengths)
+ UNION ALL SELECT 'one_row_per_name', (SELECT count(*) FILTER (n % 5 = 0) + CASE WHEN count(*) FILTER (n % 13 = 0) > 1 THEN 1 ELSE 0 END FROM r_lengths)
+ UNION ALL SELECT 'named', (SELECT count(*) FILTER (n % 13 = 0) FROM r_lengths)""")
 def source_conformance(v):
-    asked = new_names(v)
-    return can.check_source(cascade(v), asked)
+    """Rows that break each rule, planted by the length of the name."""
+    asked, rows = new_names(v), write_stage(cascade(v))
+    n = F.length("query_name")
+    rows = rows.drop("kingdom").withColumn("validation_status", F.when(n % 7 == 0, "guessed").otherwise(F.col("validation_status")))
+    named = lambda c: [c.alias(k) if k == "query_name" else F.col(k) for k in rows.columns]
+    planted = rows.unionByName(rows.where(n % 5 == 0))
+    planted = planted.unionByName(rows.where(n % 11 == 0).select(*named(F.concat(F.lit("Foreign "), "query_name"))))
+    return can.check_source(planted.unionByName(rows.where(n % 13 == 0).select(*named(F.lit("")))), asked)
 
 
 # --- conservation status --------------------------------------------------
@@ -386,6 +399,17 @@ def iucn_category(v):
     return attach_threat(rows, v.mma, sources(v), v.redlist_key).select("query_name", "iucnCategory")
 
 
+@query("""SELECT concat(t.species, substr(t.species, length(t.species), 1)) AS scientificName, k.code AS iucnCategory
+ FROM v_taxa t JOIN r_backbone_v b ON b.mk = lower(t.species) LEFT JOIN v_redlist_key k ON k.usageKey = b.usageKey""")
+def misspelled_category(v):
+    """Names with a doubled last letter keep the key of the closest backbone name."""
+    backbone = next(s for s in sources(v) if s.kind == bases.BACKBONE)
+    held = v.backbone.select(F.lower("canonicalName").alias("key")).distinct()
+    names = v.taxa.join(held, F.lower("species") == F.col("key")).select(F.expr("concat(species, substr(species, length(species), 1))").alias("scientificName"))
+    rows = names.select("scientificName", F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("taxonID"))
+    return thr.redlist_category(rows, backbone, v.redlist_key, near=True).select("scientificName", "iucnCategory")
+
+
 @query("SELECT query_name, iucnCategory, iucnCriteria FROM r_threat")
 def iucn_criteria(v):
     rows = write_stage(cascade(v))
@@ -618,6 +642,18 @@ def merged_areas(v):
     return links.merge_areas(held, new).select("area", "lon", "lat")
 
 
+@query("SELECT concat('Plot ', c_custkey) AS area FROM customer WHERE c_custkey <> 7")
+def dropped_area(v):
+    c = v.spark.read.parquet(f"{v.folder}/customer.parquet")
+    return links.drop_area(c.select(F.concat(F.lit("Plot "), "c_custkey").alias("area")), X.area_slug(F.lit("PLOT  7")))
+
+
+@query("SELECT c_custkey AS seq, CASE WHEN c_custkey % 2 = 0 THEN concat('Plot ', c_custkey) ELSE concat('Área ', c_custkey + 1) END AS area FROM customer")
+def default_area_names(v):
+    c = v.spark.read.parquet(f"{v.folder}/customer.parquet")
+    return links.named_areas(c.select(F.col("c_custkey").alias("seq"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Plot "), "c_custkey")).alias("area")))
+
+
 # --- geography ------------------------------------------------------------
 
 R.REFERENCE["r_plot_over"] = R.over("r_plot_edges")
@@ -695,6 +731,25 @@ def distribution_flags(v):
     return _geo(v).per_species
 
 
+@query("""SELECT g.area, g.query_name, CASE WHEN s.status IS NOT NULL AND g.gbif_count = 0 THEN NULL ELSE g.gbif_count > 0 END AS has_gbif,
+ CASE WHEN s.status IS NOT NULL AND g.gbif_count = 0 THEN NULL ELSE g.gbif_count END AS gbif_count, coalesce(s.status = 'failed', false) AS gbif_failed, coalesce(s.status, 'complete') AS gbif_status
+ FROM r_geo g LEFT JOIN r_backbone_v b ON b.mk = trim(regexp_replace(lower(g.scientificName),'[^a-z0-9]+',' ','g'))
+ LEFT JOIN (SELECT cast(k AS VARCHAR) AS taxon, CASE k % 3 WHEN 0 THEN 'failed' ELSE 'truncated' END AS status FROM v_taxa WHERE k % 3 < 2) s
+ ON s.taxon = cast(coalesce(b.acceptedUsageKey, b.usageKey) AS VARCHAR)""")
+def verified_partial(v):
+    """Taxa whose records could not be had, or only in part: no hit means not known."""
+    taxa = v.taxa.where("k % 3 < 2").select(F.col("k").cast("string").alias("taxon"), F.when(F.col("k") % 3 == 0, "failed").otherwise("truncated").alias("status"))
+    coverage = taxa.crossJoin(area_parts(v).select("area").distinct())
+    geo_ = ver.verify_distribution(area_parts(v), write_stage(_area_names(v)), occurrences(v), region_parts(v), sources(v), coverage=coverage)
+    return geo_.per_species.select("area", "query_name", "has_gbif", "gbif_count", "gbif_failed", "gbif_status")
+
+
+@query("""SELECT coalesce(list_sort(list(DISTINCT label) FILTER (WHERE kind = 'state')), []) AS area_states,
+ coalesce(list_sort(list(DISTINCT label) FILTER (WHERE kind = 'biome')), []) AS area_biomes, [] AS gbif_failed FROM r_over""")
+def combined_areas(v):
+    return ver.union_over_areas(_geo(v))
+
+
 @query(f"""SELECT l.level, l.flag, coalesce(c.n, 0) AS n FROM (SELECT unnest(['confirmed','near_absent','outside','no_data']) AS level, unnest({list(R.FLAGS)}) AS flag) l
  LEFT JOIN (SELECT distributionFlag, count(*) AS n FROM r_geo GROUP BY 1) c ON c.distributionFlag = l.flag""")
 def flag_counts(v):

@@ -13,10 +13,12 @@ from ..functions.status import (
 )
 from ..functions.text import filled_or, is_filled, match_key
 from ..schema import REPLACED_SOURCES
+from ..session import write_stage
 from ..sources.bases import NameSource
 from .accepted import agreed_accepted_names
 from .answers import backbone_rows
 from .joins import first_per_key
+from .nearest import fuzzy_best
 
 
 def most_restrictive(listed: DataFrame) -> DataFrame:
@@ -78,13 +80,36 @@ def backbone_keys(names: DataFrame, backbone: NameSource, name: str = "scientifi
     return names.withColumn("_mk", match_key(name)).join(keys, "_mk", "left").drop("_mk")
 
 
-def redlist_category(rows: DataFrame, backbone: NameSource, by_key: DataFrame) -> DataFrame:
+def with_near_keys(keyed: DataFrame, backbone: NameSource, name: str = "scientificName") -> DataFrame:
+    """Fill the keys that ``backbone_keys`` left open from the closest backbone name.
+
+    A misspelled species keeps its key; only a name that the backbone knows by
+    its genus alone has none. The closest names are searched once per distinct
+    open name.
+    """
+    open_names = keyed.where(F.col("usageKey").isNull() & is_filled(name)).select(F.col(name).alias("query_name")).distinct()
+    best = fuzzy_best(write_stage(open_names.withColumn("ask", F.lit(1))), [backbone])
+    near = best.select(
+        F.col("query_name").alias(name), F.col("row.taxonID").alias("_near"),
+        F.coalesce("row.acceptedNameUsageID", "row.taxonID").alias("_near_accepted"),
+    )
+    return keyed.join(near, name, "left").select(
+        *[F.coalesce("usageKey", "_near").alias(c) if c == "usageKey" else F.coalesce("occurrenceKey", "_near_accepted").alias(c) if c == "occurrenceKey" else F.col(c)
+          for c in keyed.columns]
+    )
+
+
+def redlist_category(rows: DataFrame, backbone: NameSource, by_key: DataFrame, near: bool = False) -> DataFrame:
     """Adds ``iucnCategory``.
 
     A ``taxonID`` is a backbone key only on rows the backbone answered; every
-    other row goes by name. ``by_key`` has ``usageKey, code``.
+    other row goes by name. ``by_key`` has ``usageKey, code``. ``near``: names
+    without an exact key take that of the closest backbone name.
     """
-    keyed = backbone_keys(rows, backbone).drop("occurrenceKey")
+    keyed = backbone_keys(rows, backbone)
+    if near:
+        keyed = with_near_keys(keyed, backbone)
+    keyed = keyed.drop("occurrenceKey")
     own = F.when((F.col("provider") == backbone.id) & (F.coalesce("taxonID", F.lit("")) != ""), F.col("taxonID"))
     keyed = keyed.withColumn("_key", F.coalesce(own, F.col("usageKey"))).drop("usageKey")
     codes = by_key.select(F.col("usageKey").cast("string").alias("_key"), F.col("code").alias("iucnCategory"))

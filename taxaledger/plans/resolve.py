@@ -19,10 +19,9 @@ from ..functions.status import status_rank
 from ..functions.text import is_filled, match_key
 from ..operators.answers import (
     apply_verdict, backbone_parents, backbone_verdict, checklist_verdict, exact_rows,
-    fuzzy_targets,
 )
 from ..operators.canonical import canonical_rows, placeholder_rows
-from ..operators.fuzzy import fuzzy_pairs
+from ..operators.nearest import fuzzy_best
 from ..schema import CANONICAL_COLUMNS
 from ..session import write_stage
 from ..sources.bases import BACKBONE, CHECKLIST, NameSource, in_priority
@@ -50,29 +49,6 @@ def _candidate(asked: Column, verdict: Column, row: Column, place: int, number:
     )
 
 
-def fuzzy_best(queries: DataFrame, sources: Sequence[NameSource]) -> DataFrame:
-    """Closest name per query and source: distance, non-synonym, source order.
-
-    ``queries`` has ``query_name`` and ``ask``, a bit per source.
-    """
-    # Read twice: for its names, and for the rows behind the chosen ones.
-    targets = write_stage(reduce(
-        DataFrame.unionByName,
-        [fuzzy_targets(s).withColumn("src", F.lit(i)) for i, s in enumerate(sources)],
-    ))
-    budgets = {s.max_distance for s in sources}
-    if len(budgets) != 1:
-        raise ValueError("sources resolved together must share one max_distance")
-    asked = F.getbit(F.col("ask"), F.col("src")) == 1
-    slim = targets.select("target", "synonym", "seq", "src")
-    pairs = fuzzy_pairs(queries, slim, "query_name", "target", budgets.pop(), keep=asked)
-    order = F.struct("distance", "synonym", "seq", "target")
-    nearest = pairs.groupBy("query_name", "src").agg(F.min(order).alias("_near"))
-    found = nearest.select("query_name", "src", F.col("_near.target").alias("target"),
-                           F.col("_near.distance").alias("distance"), F.col("_near.seq").alias("seq"))
-    return found.join(targets.select("src", "target", "seq", "row"), ["src", "target", "seq"])
-
-
 def resolve_names(names: DataFrame, sources: Sequence[NameSource], fuzzy: bool = True) -> DataFrame:
     """One canonical row per name of ``names`` (column ``query_name``, distinct)."""
     sources = in_priority(sources)
