@@ -8,9 +8,8 @@
 3. No bucket is turned into all its pairs. First each node is compared with the
    smallest node that leads one of its buckets. Links make components; a bucket
    inside one component is settled. In each of the others the members outside
-   its largest component are compared with a node of that component, another one
-   in each bucket, as long as that finds links. Then a node of its smallest
-   component is compared with the members of other components and leaves the
+   its largest component are compared once with a node of that component, another
+   one in each bucket. From then on a node of its smallest component is compared with the members of other components and leaves the
    bucket. Once all pairs left over are at most ``LINEAR`` times the nodes, they
    are compared at once. So every pair in a bucket is either compared or already
    in one class: no link is lost, however large the bucket.
@@ -44,7 +43,7 @@ from taxaledger.session import write_stage
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 25, 5
-LINEAR = 1
+LINEAR = 4
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
@@ -129,8 +128,6 @@ def _linked(members: DataFrame, held: DataFrame, n_nodes: int, threshold: float)
             comps = write_stage(
                 comps.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
             )
-        else:
-            by_bucket = False  # the buckets' own leaders find no more
         placed = members.join(comps, "node")
         groups = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min("node").alias("lead"), F.min_by("node", F.xxhash64("bucket", "node")).alias("any"))
         size = groups.groupBy("bucket").agg(
@@ -152,6 +149,7 @@ def _linked(members: DataFrame, held: DataFrame, n_nodes: int, threshold: float)
             pairs = placed.filter("comp <> lead_comp").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
             # In a round that asked its bucket's smallest component, the leader is done there.
             members = placed.select("bucket", "node") if by_bucket else placed.filter("node <> lead").select("bucket", "node")
+        by_bucket = False
         new = write_stage(similarities(pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), held))
         tested = tested.union(new)
 
