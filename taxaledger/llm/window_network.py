@@ -51,15 +51,30 @@ def contexts(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    """Over the first axis: numpy reduces along the short one fast that way."""
+    x = x - x.max(axis=0)
+    return x - np.log(np.exp(x).sum(axis=0))
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Over the first axis, in place."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
+
+
+def _sorted_order(x: np.ndarray) -> np.ndarray:
+    """Stable order of word or class numbers; numpy sorts 16 bits by radix."""
+    return np.argsort(x.astype(np.uint16), kind="stable")
 
 
 def _hidden(w: Weights, near: np.ndarray) -> np.ndarray:
     h = w["near"][0].take(near[0], axis=0)
     for p in range(1, len(OFFSETS)):
         h += w["near"][p].take(near[p], axis=0)
-    return np.tanh(h + w["hidden_bias"])
+    h += w["hidden_bias"]
+    return np.tanh(h, out=h)
 
 
 def log_probabilities(w: Weights, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -67,14 +82,15 @@ def log_probabilities(w: Weights, ids: np.ndarray, near: np.ndarray) -> np.ndarr
     out = np.empty(len(ids))
     for b in range(0, len(ids), BATCH):
         t = ids[b : b + BATCH]
-        order = np.argsort(t // PLACES, kind="stable")
+        order = _sorted_order(t // PLACES)
         h, cls = _hidden(w, near[:, b : b + BATCH])[order], (t // PLACES)[order]
-        got = _log_softmax(h @ w["cls"] + w["cls_bias"])[np.arange(len(t)), cls]
+        h = np.ascontiguousarray(h.T)
+        got = _log_softmax(w["cls"].T @ h + w["cls_bias"][:, None])[cls, np.arange(len(t))]
         ends = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             i, j = ends[c], ends[c + 1]
             if i < j:
-                got[i:j] += _log_softmax(h[i:j] @ w["place"][c] + w["place_bias"][c])[np.arange(j - i), t[order[i:j]] % PLACES]
+                got[i:j] += _log_softmax(w["place"][c].T @ h[:, i:j] + w["place_bias"][c][:, None])[t[order[i:j]] % PLACES, np.arange(j - i)]
         out[b + order] = got
     return out
 
@@ -93,27 +109,29 @@ class Trainer:
 
     def _step(self, t: np.ndarray, near: np.ndarray) -> None:
         w, n = self.w, len(t)
-        order = np.argsort(t // PLACES, kind="stable")
+        order = _sorted_order(t // PLACES)
         t, near = t[order], near[:, order]
-        h, cls = _hidden(w, near), t // PLACES
-        d = np.exp(_log_softmax(h @ w["cls"] + w["cls_bias"]))
-        d[np.arange(n), cls] -= 1
-        g = {"cls": h.T @ d, "cls_bias": d.sum(0), "place": np.zeros_like(w["place"]), "place_bias": np.zeros_like(w["place_bias"])}
-        d_h = d @ w["cls"].T
+        h, cls = np.ascontiguousarray(_hidden(w, near).T), t // PLACES  # units x words
+        d = _softmax(w["cls"].T @ h + w["cls_bias"][:, None])
+        d[cls, np.arange(n)] -= 1
+        g = {"cls": h @ d.T, "cls_bias": d.sum(1), "place": np.zeros_like(w["place"]), "place_bias": np.zeros_like(w["place_bias"])}
+        d_h = w["cls"] @ d
         ends = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             i, j = ends[c], ends[c + 1]
             if i < j:
-                e = np.exp(_log_softmax(h[i:j] @ w["place"][c] + w["place_bias"][c]))
-                e[np.arange(j - i), t[i:j] % PLACES] -= 1
-                g["place"][c], g["place_bias"][c] = h[i:j].T @ e, e.sum(0)
-                d_h[i:j] += e @ w["place"][c].T
+                e = _softmax(w["place"][c].T @ h[:, i:j] + w["place_bias"][c][:, None])
+                e[t[i:j] % PLACES, np.arange(j - i)] -= 1
+                g["place"][c], g["place_bias"][c] = h[:, i:j] @ e.T, e.sum(1)
+                d_h[:, i:j] += w["place"][c] @ e
         d_h *= 1 - h * h
+        d_h = np.ascontiguousarray(d_h.T)
         g["hidden_bias"], g["near"] = d_h.sum(0), np.zeros_like(w["near"])
         for p in range(len(OFFSETS)):
-            by = np.argsort(near[p], kind="stable")
-            words, first = np.unique(near[p][by], return_index=True)
-            g["near"][p][words] = np.add.reduceat(d_h[by], first, axis=0)
+            by = _sorted_order(near[p])
+            placed = near[p][by]
+            first = np.flatnonzero(np.concatenate(([True], placed[1:] != placed[:-1])))
+            g["near"][p][placed[first]] = np.add.reduceat(d_h.take(by, axis=0), first, axis=0)
         for k, x in g.items():
             x /= n
             self.squares[k] += x * x
