@@ -1,11 +1,12 @@
-"""Approximate nearest neighbours with one vantage-point tree per shard.
+"""Nearest neighbours with one vantage-point tree per shard.
 
 Rows are spread over shards of about ``SHARD_ROWS`` by a hash of their row, so
 equal vectors or ids make no large shard. Each shard's tree is built once and
 written. Queries are packed in blocks of ``BLOCK_ROWS``; each tree meets each
 block once, and the blocks' results are merged per query. A subtree is skipped
 if the triangle inequality puts all of it farther than the query's worst hit
-times ``factor``: 1 never loses a neighbour, smaller factors skip more.
+times ``factor``: 1, as set, never loses a neighbour; smaller factors skip more
+and lose neighbours, the more the fewer dimensions the vectors really span.
 
 Nearness is the Euclidean distance in double precision; ties go to the smaller
 vec_id. Only vectors of a query's length are its candidates.
@@ -32,7 +33,7 @@ from taxaledger.session import write_stage
 
 SHARD_ROWS = 8192
 BLOCK_ROWS = 2048
-FACTOR = 0.2
+FACTOR = 1.0
 K = 10
 
 _TREE = "shard long, dim int, ids binary, rows binary, vectors binary, tree_order binary, nodes binary"

@@ -112,6 +112,17 @@ def test_recall(llm):
     assert len(set(near) & set(exact)) >= 0.95 * len(exact)
 
 
+def test_recall_where_vectors_span_few_dimensions(llm):
+    rng = np.random.default_rng(11)
+    x = np.tanh(rng.normal(size=(3000, 8)) @ rng.normal(size=(8, 64)) / 3)
+    df = llm.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in vector_search.search(df, every=30, shard_rows=1500).collect()}
+    q = np.arange(0, len(x), 30)
+    d = distances(x[q], x)
+    d[np.arange(len(q)), q] = np.inf
+    assert got == {(int(a), n + 1, int(b)) for a, near in zip(q, np.argsort(d, axis=1, kind="stable")[:, :10], strict=True) for n, b in enumerate(near)}
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query_against_sql(llm, folder, name):
     con = duck(folder)
