@@ -52,7 +52,8 @@ class WordTokenizer:
         self.whole.no_padding()
         self.model = self.whole.model
         self.special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
-        self.has_special = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
+        marks = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
+        self.has_special, self.specials = marks.search, marks.finditer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.spec = spec["model"]
@@ -62,9 +63,15 @@ class WordTokenizer:
 
     def pieces(self, text: str) -> list[bytes | int]:
         """The pieces of any text in UTF-8, split by the library; for a special string its id."""
-        m = self.has_special(text)
-        if m:
-            return [*self.pieces(text[: m.start()]), self.special[m[0]], *self.pieces(text[m.end() :])]
+        out, at = [], 0
+        for m in self.specials(text):
+            out += self._between(text[at : m.start()])
+            out.append(self.special[m[0]])
+            at = m.end()
+        return out + self._between(text[at:])
+
+    def _between(self, text: str) -> list[bytes]:
+        """The pieces of a text without special strings."""
         if not text:
             return []
         plain = self.whole.normalizer.normalize_str(text)

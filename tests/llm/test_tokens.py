@@ -39,6 +39,12 @@ def test_codec_is_the_library(word):
         assert codec.decode(ids) == word.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>" * 5000, "\ufeffsome text " + "b<|startoftext|>a <|endoftext|>" * 2500], ids=["unit", "doubtful"])
+def test_thousands_of_special_strings(word, text):
+    want = word.encode(text, add_special_tokens=False).ids
+    assert bpe_codec.Codec(WORD).encode(text) == " ".join(map(str, want)) and len(want) >= 5000
+
+
 def test_byte_units_are_the_library(byte):
     texts = mixtures(3000, 2)
     for text, raw in zip(texts, token_store.tokenizer(BYTE).encode_batch(texts), strict=True):
