@@ -200,3 +200,32 @@ def test_scores_are_sums_of_conditionals(llm, odd, none):
     assert total == pytest.approx(1, abs=1e-4)
     assert got[1]["n_words"] == 0 and got[1]["log_prob"] == 0 and got[12]["log_prob"] < 0
     assert pseudo_likelihood.score(none).count() == 0
+
+
+@pytest.mark.parametrize("held", [1 << 16, 50, 1])
+def test_every_word_has_its_own_probability(llm, held):
+    """Class times share of the class, by hand: from broadcast counts, joined ones and both."""
+    rng = np.random.default_rng(8)
+    numbers = np.where(rng.random(12000) < 0.7, rng.zipf(1.3, 12000) % 4000, rng.integers(0, 4000, 12000))
+    texts = [" ".join(f"w{n}" for n in numbers[i : i + 60]) for i in range(0, len(numbers), 60)] + ["rare1 rare1 w1 rare2", "w1 w2 w1 w3", None]
+    df = llm.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    counts = Counter(w for t in texts for w in words_of(t))
+    assert len(counts) > 2 * pseudo_likelihood.KNOWN
+    known, number = pseudo_likelihood.vocabulary(df)
+    weights = pseudo_likelihood.train(df, known, number, rounds=1)
+    kinds = list(counts)
+    hashes = Words([w.encode() for w in kinds]).hash
+    word_id = dict(zip(kinds, pseudo_likelihood.numbered(hashes, known, number).tolist(), strict=True))
+    of_id = Counter()
+    for w, n in counts.items():
+        of_id[word_id[w]] += n
+    assert sum(counts[w] / of_id[i] for w, i in word_id.items()) == pytest.approx(len(of_id))
+    got = {r["doc_id"]: r for r in pseudo_likelihood.score(df, rounds=1, held=held).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        own = words_of(t)
+        ids = np.array([word_id[w] for w in own], np.int64)
+        log_p = window_network.log_probabilities(weights, ids, window_network.contexts(ids, np.zeros(len(ids), np.int64)))
+        want = log_p.sum() + sum(np.log(counts[w] / of_id[word_id[w]]) for w in own)
+        r = got[i or None]
+        assert r["n_words"] == len(own) and r["log_prob"] == pytest.approx(want, rel=1e-4, abs=1e-6) and r["mean_log_prob"] == pytest.approx(want / max(1, len(own)), rel=1e-4, abs=1e-6)
