@@ -9,7 +9,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taxaledger.llm import bpe_codec, language_gru, near_duplicates, pseudo_likelihood, quality_cnn, secret_scan, token_counts, token_store, vector_search, winnowing
+from taxaledger.llm import bpe_codec, centroid_clusters, language_gru, near_duplicates, pseudo_likelihood, quality_cnn, secret_scan, token_counts, token_store, vector_search, winnowing
+from taxaledger.llm.centroid_clusters_sql import cluster_sql
 from taxaledger.llm.secret_scan_sql import OP3_SQL
 from taxaledger.llm.shipping import ship
 from taxaledger.llm.texts import table
@@ -85,3 +86,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_nsimplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.digests(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_nsimplex_clusters"] = cluster_sql(centroid_clusters.CENTROIDS, centroid_clusters.ROUNDS, centroid_clusters.DIMENSIONS, centroid_clusters.SCALE, centroid_clusters.SALT)
