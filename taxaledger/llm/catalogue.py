@@ -9,8 +9,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taxaledger.llm import bpe_codec, centroid_clusters, language_gru, near_duplicates, pseudo_likelihood, quality_cnn, secret_scan, token_counts, token_store, vector_search, winnowing
+from taxaledger.llm import bpe_codec, centroid_clusters, language_gru, near_duplicates, periodic_runs, pseudo_likelihood, quality_cnn, secret_scan, token_counts, token_store, vector_search, winnowing
 from taxaledger.llm.centroid_clusters_sql import cluster_sql
+from taxaledger.llm.periodic_runs_sql import OP11_SQL
 from taxaledger.llm.secret_scan_sql import OP3_SQL
 from taxaledger.llm.shipping import ship
 from taxaledger.llm.texts import table
@@ -88,6 +89,14 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), order=periodic_runs.planted_order))
+
+
+SQL["op11_periodic_runs"] = OP11_SQL
+
+
 @query
 def op12_nsimplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters.digests(table(spark, sf_dir, "embeddings"))
