@@ -9,9 +9,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taxaledger.llm import bpe_codec, centroid_clusters, language_gru, near_duplicates, periodic_runs, pseudo_likelihood, quality_cnn, secret_scan, token_counts, token_store, vector_search, winnowing
+from taxaledger.llm import bpe_codec, centroid_clusters, language_gru, near_duplicates, periodic_runs, pseudo_likelihood, quality_cnn, quality_rules, secret_scan, token_counts, token_store, vector_search, winnowing
 from taxaledger.llm.centroid_clusters_sql import cluster_sql
 from taxaledger.llm.periodic_runs_sql import OP11_SQL
+from taxaledger.llm.quality_rules_sql import OP13_SQL
 from taxaledger.llm.secret_scan_sql import OP3_SQL
 from taxaledger.llm.shipping import ship
 from taxaledger.llm.texts import table
@@ -103,3 +104,11 @@ def op12_nsimplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_nsimplex_clusters"] = cluster_sql(centroid_clusters.CENTROIDS, centroid_clusters.ROUNDS, centroid_clusters.DIMENSIONS, centroid_clusters.SCALE, centroid_clusters.SALT)
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_quality_rules"] = OP13_SQL
