@@ -28,7 +28,7 @@ from taxaledger.plans.full_run import Geography, Reference, run_all
 from taxaledger.plans.threat_status import threat_status as attach_threat
 from taxaledger.schema import BUFFER_METRES
 from taxaledger.session import run_folder, write_stage
-from taxaledger.sources import bases, lists, sheets, sinks
+from taxaledger.sources import area_files, bases, lists, sheets, sinks
 
 from . import reference_sql as R
 from .views import Inputs
@@ -654,6 +654,58 @@ def default_area_names(v):
     return links.named_areas(c.select(F.col("c_custkey").alias("seq"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Plot "), "c_custkey")).alias("area")))
 
 
+# --- area files -----------------------------------------------------------
+
+_MOST_BYTES = 20_000
+
+
+def _upload_texts(v: Inputs) -> DataFrame:
+    """``file, value``: the document of each upload, sound or with its planted fault."""
+    def corner(right: bool, upper: bool):
+        x, y = F.col("x") + F.col("d") + (F.col("w") if right else 0), F.col("y") + F.col("d") + (F.col("w") if upper else 0)
+        return F.concat_ws(",", *[(c / 1000).cast("decimal(9,3)").cast("string") for c in (x, y)], F.lit("0"))
+
+    square = F.concat_ws(" ", corner(False, False), corner(True, False), corner(True, True), corner(False, True), corner(False, False))
+    ring = F.concat(F.lit("<LinearRing><coordinates>\n "), square, F.lit("\n</coordinates></LinearRing>"))
+    side = F.when(F.col("ring") == 0, "outerBoundaryIs").otherwise("innerBoundaryIs")
+    rings = v.upload_rings.select(
+        "k", "kind", "part", "ring", F.when(F.col("w") == 0, F.concat(F.lit("<Point><coordinates>"), corner(False, False), F.lit("</coordinates></Point>")))
+        .otherwise(F.concat(F.lit("<"), side, F.lit(">"), ring, F.lit("</"), side, F.lit(">"))).alias("text"), (F.col("w") > 0).alias("outline"))
+    shapes = rings.groupBy("k", "kind", "part", "outline").agg(F.array_sort(F.collect_list(F.struct("ring", "text"))).alias("rings")).withColumn("text", F.array_join("rings.text", ""))
+    shapes = shapes.select("k", "kind", "part", F.when(F.col("outline"), F.concat(F.lit("<Polygon>"), "text", F.lit("</Polygon>"))).otherwise(F.col("text")).alias("text"))
+    # Parts 1 and 2 of kind 1 share one placemark; all others have their own.
+    shapes = shapes.withColumn("mark", F.when((F.col("kind") == 1) & (F.col("part") == 2), 1).otherwise(F.col("part")))
+    marks = shapes.groupBy("k", "kind", "mark").agg(F.array_join(F.array_sort(F.collect_list(F.struct("part", "text"))).getField("text"), "").alias("text"), F.count("*").alias("n"))
+    marks = marks.withColumn("text", F.concat(F.lit("<Placemark><name>x</name>"), F.when(F.col("n") > 1, F.concat(F.lit("<MultiGeometry>"), "text", F.lit("</MultiGeometry>"))).otherwise(F.col("text")), F.lit("</Placemark>\n")))
+    bodies = marks.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list(F.struct("mark", "text"))).getField("text"), "").alias("marks"))
+    dropped = F.when(F.col("kind") == 3, "<Folder><Placemark><Point><coordinates>-40,-10</coordinates></Point></Placemark></Folder>").otherwise("")
+    extra = F.when(F.col("kind") == 4, "<NetworkLink><href>http://x.example/a.kml</href></NetworkLink>").when(F.col("kind") == 9, F.concat(F.lit("<!-- "), F.repeat(F.lit("x"), _MOST_BYTES), F.lit(" -->"))).otherwise("")
+    head = F.when(F.col("kind") == 5, "<!DOCTYPE kml [<!ENTITY x 'y'>]>").when(F.col("kind") == 10, "\ufeff<?xml version='1.0'?>\n<!-- two\nlines -->").otherwise("<?xml version='1.0'?>")
+    root = F.when(F.col("kind") == 6, "html").otherwise("kml")
+    return v.uploads.join(bodies, "k", "left").select("file", F.concat(
+        head, F.lit("<"), root, F.lit(" xmlns='http://www.opengis.net/kml/2.2'><Document>"), F.coalesce("marks", F.lit("")), dropped, extra, F.lit("</Document></"), root, F.lit(">")).alias("value"))
+
+
+def _uploads(v: Inputs) -> area_files.AreaFiles:
+    """One file per supplier, written and read back; each lies in a folder with its name."""
+    path = _folder(v)
+    _upload_texts(v).write.partitionBy("file").text(path)
+    return area_files.read_areas(v.spark, path, max_bytes=_MOST_BYTES, name=area_files.folder_name("file"), glob="part-*")
+
+
+@query("SELECT area, part, ring, seq, lon, lat FROM v_upload_vertices")
+def kml_areas(v):
+    """Holes, several placemarks, geometry collections, altitudes; points only where a file has no polygon."""
+    return _uploads(v).vertices
+
+
+@query("""SELECT file, CASE WHEN kind IN (5, 6) THEN 'not a KML document' WHEN kind = 7 THEN 'no geometry' WHEN kind = 8 THEN 'unsupported format' WHEN kind = 9 THEN 'file too large'
+ ELSE 'has a DTD, an entity, a VRT or a NetworkLink' END AS reason FROM v_uploads WHERE kind BETWEEN 4 AND 9""")
+def kml_rejects(v):
+    """One row per refused file; the other files of the folder are read all the same."""
+    return _uploads(v).rejects
+
+
 # --- geography ------------------------------------------------------------
 
 R.REFERENCE["r_plot_over"] = R.over("r_plot_edges")

@@ -116,6 +116,24 @@ SELECT k.kind, CASE k.kind WHEN 'state' THEN CASE n.n_nationkey WHEN 0 THEN 'SP'
  cast(-24.0 + floor(n.n_nationkey / 3) * 1.5 + CASE WHEN s.seq IN (2,3) THEN 1.5 ELSE 0.0 END AS DOUBLE) AS lat
 FROM nation n CROSS JOIN (SELECT r_regionkey AS seq FROM region) s
 CROSS JOIN (SELECT 'state' AS kind UNION ALL SELECT 'biome') k WHERE n.n_nationkey < 9""",
+    # One uploaded area file per supplier; its kind says what it holds or what is wrong with it.
+    "v_uploads": """
+SELECT s_suppkey AS k, s_suppkey % 11 AS kind,
+ concat('Área ', s_suppkey, CASE s_suppkey % 11 WHEN 8 THEN '.shp' WHEN 10 THEN '.KML' ELSE '.kml' END) AS file,
+ -52000 + s_suppkey * 7919 % 6000 AS x, -25000 + s_suppkey * 104729 % 8000 AS y
+FROM supplier""",
+    # Shapes of the files that may be read: squares by thousandths of a degree, or points (no width).
+    "v_upload_rings": """
+SELECT k, kind, x, y, 0 AS part, 0 AS ring, 0 AS d, CASE WHEN kind = 2 THEN 0 ELSE 100 END AS w FROM v_uploads WHERE kind IN (0, 1, 2, 3, 10)
+UNION ALL SELECT k, kind, x, y, 0, 1, 20, 40 FROM v_uploads WHERE kind IN (0, 10)
+UNION ALL SELECT k, kind, x, y, 1, 0, 150, 50 FROM v_uploads WHERE kind = 1
+UNION ALL SELECT k, kind, x, y, 2, 0, 250, 30 FROM v_uploads WHERE kind = 1
+UNION ALL SELECT k, kind, x, y, 1, 0, 300, 0 FROM v_uploads WHERE kind = 2""",
+    "v_upload_vertices": """
+SELECT concat('Área ', u.k) AS area, u.part, u.ring, s.seq,
+ cast(u.x + u.d + CASE WHEN s.seq IN (1,2) THEN u.w ELSE 0 END AS DOUBLE) / 1000 AS lon,
+ cast(u.y + u.d + CASE WHEN s.seq IN (2,3) THEN u.w ELSE 0 END AS DOUBLE) / 1000 AS lat
+FROM v_upload_rings u CROSS JOIN (SELECT r_regionkey AS seq FROM region) s WHERE u.w > 0 OR s.seq = 0""",
     # Claimed localities: each area its own, and Fazenda 4 is claimed twice.
     "v_claims": """
 SELECT concat('Fazenda ', n_nationkey) AS area, concat('fazenda  ', n_nationkey) AS locality FROM nation WHERE n_nationkey < 5

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -40,18 +41,35 @@ def file_name(path: Column) -> Column:
     return F.url_decode(F.replace(base, F.lit("+"), F.lit("%2B")))
 
 
-def area_name(path: Column) -> Column:
-    """Name of an area: its file name without the extension."""
-    return F.regexp_replace(file_name(path), r"(?i)\.(zip|kmz|kml)$", "")
+def folder_name(column: str) -> Callable[[Column], Column]:
+    """Name of an upload that lies in a folder ``column=<name>`` of its own, as Spark's writers make it.
+
+    The path reports the folder in URL encoding, and signs that a folder may
+    not hold are escaped once more.
+    """
+
+    def name(path: Column) -> Column:
+        folder = F.regexp_extract(path, rf"/{column}=([^/]*)/[^/]*$", 1)
+        for _ in range(2):
+            folder = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+        return folder
+
+    return name
 
 
-def check_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+def area_name(name: Column) -> Column:
+    """Name of an area: the name of its file without the extension."""
+    return F.regexp_replace(name, r"(?i)\.(zip|kmz|kml)$", "")
+
+
+def check_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, name: Callable[[Column], Column] = file_name) -> DataFrame:
     """``path, reason`` per file; the reason is null where the file may be read.
 
-    Content is only loaded for files whose size passed.
+    Content is only loaded for files whose size passed. ``name`` gives the
+    name of the upload, which carries its format.
     """
-    files = spark.read.format("binaryFile").load(path).withColumn("path", F.col("_metadata.file_path"))
-    kml = F.lower("path").endswith(".kml")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("path", F.col("_metadata.file_path"))
+    kml = F.lower(name(F.col("path"))).endswith(".kml")
     sized = files.select("path", "length").select(
         "path",
         F.when(~kml, "unsupported format").when(F.col("length") > max_bytes, "file too large").alias("reason"),
@@ -79,9 +97,10 @@ def _ring(text: Column) -> Column:
 
 
 def placemark_vertices(marks: DataFrame) -> DataFrame:
-    """Vertices of all placemarks of each file.
+    """``path, part, ring, seq, lon, lat``: vertices of all placemarks of each file.
 
-    A file with any polygon gives its polygons only; a file with none gives its
+    ``marks`` has ``path``, ``place`` (orders the placemarks of a file) and the
+    columns of ``PLACEMARK``. A file with any polygon gives its polygons only; a file with none gives its
     points, each a part of one vertex.
     """
     none_p, none_q = F.array().cast(f"array<{_POLYGON}>"), F.array().cast(f"array<{_POINT}>")
@@ -93,32 +112,40 @@ def placemark_vertices(marks: DataFrame) -> DataFrame:
             F.concat(F.array(p["outerBoundaryIs"]), F.coalesce(p["innerBoundaryIs"], inner)), lambda r: _ring(r["LinearRing"]["coordinates"])).alias("rings"))),
         F.transform(points, lambda p: F.struct(F.lit(False).alias("polygon"), F.array(_ring(p["coordinates"])).alias("rings"))),
     )
-    parts = marks.select("path", F.monotonically_increasing_id().alias("m"), F.posexplode(shapes).alias("i", "s"))
+    parts = marks.select("path", "place", F.posexplode(shapes).alias("i", "s"))
     outlined = parts.groupBy("path").agg(F.max("s.polygon").alias("outlined"))
     parts = parts.join(outlined, "path").where(F.col("s.polygon") == F.col("outlined"))
     # Shapes of a file in the order of its placemarks: one file's shapes at a time.
-    order = Window.partitionBy("path").orderBy("m", "i")
+    order = Window.partitionBy("path").orderBy("place", "i")
     rings = parts.withColumn("part", F.row_number().over(order) - 1).select("path", "part", F.posexplode("s.rings").alias("ring", "r"))
-    points_ = rings.select("path", "part", "ring", F.posexplode("r").alias("seq", "v"))
-    return points_.select(area_name(F.col("path")).alias("area"), "part", "ring", "seq", "v.lon", "v.lat").where(
-        F.col("lon").isNotNull() & F.col("lat").isNotNull()
-    )
+    return rings.select("path", "part", "ring", F.posexplode("r").alias("seq", "v")).select(
+        "path", "part", "ring", "seq", "v.lon", "v.lat").where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
 
 
-def read_areas(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> AreaFiles:
+def read_areas(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES,
+               name: Callable[[Column], Column] = file_name, glob: str = "*.[kK][mM][lL]") -> AreaFiles:
     """All areas of a folder, and the files that were refused and why.
 
-    ``max_bytes``: larger files are refused and reported.
+    ``max_bytes``: larger files are refused and reported. ``name`` gives the
+    name of an upload from its path, ``glob`` the files that may hold one:
+    uploads that lie under other names, such as ``part-*``, are named by their
+    folder (``folder_name``).
     """
-    checked = check_files(spark, path, max_bytes)
+    checked = check_files(spark, path, max_bytes, name)
     marks = (
-        spark.read.format("xml").option("rowTag", "Placemark").option("ignoreNamespace", "true").option("pathGlobFilter", "*.kml")
-        .schema(PLACEMARK).load(path).select("*", F.col("_metadata.file_path").alias("path"))
+        spark.read.format("xml").option("rowTag", "Placemark").option("ignoreNamespace", "true").option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", "true").schema(PLACEMARK).load(path)
+        # The place of a placemark in its file, while rows still come in its order.
+        .select("*", F.col("_metadata.file_path").alias("path"),
+                F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"))
     )
     good = checked.where(F.col("reason").isNull()).select("path")
     vertices = placemark_vertices(marks.join(good, "path", "left_semi"))
     rejects = checked.where(is_filled("reason"))
-    held = vertices.select("area").distinct().withColumn("_has", F.lit(True))
-    empty = checked.where(F.col("reason").isNull()).withColumn("area", area_name(F.col("path"))).join(held, "area", "left_anti")
+    empty = good.join(vertices.select("path").distinct(), "path", "left_anti")
     rejects = rejects.unionByName(empty.select("path", F.lit("no geometry").alias("reason")))
-    return AreaFiles(vertices, rejects.select(file_name(F.col("path")).alias("file"), "reason"))
+    upload = name(F.col("path"))
+    return AreaFiles(
+        vertices.select(area_name(upload).alias("area"), "part", "ring", "seq", "lon", "lat"),
+        rejects.select(upload.alias("file"), "reason"),
+    )

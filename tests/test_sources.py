@@ -171,7 +171,7 @@ def test_seq_is_unique_and_labels_are_attached(spark, tmp_path):
 
 def test_many_shapes_stay_apart(spark):
     marks = spark.range(12_000).selectExpr(
-        "'f.kml' as path", "'n' as name",
+        "'f.kml' as path", "id as place", "'n' as name",
         "array(named_struct('outerBoundaryIs', named_struct('LinearRing', named_struct('coordinates', '0,0 0,1 1,1 0,0')), 'innerBoundaryIs', cast(null as array<struct<LinearRing: struct<coordinates: string>>>))) as Polygon",
         "cast(null as array<struct<coordinates: string>>) as Point", f"cast(null as struct<Polygon: array<{area_files._POLYGON}>, Point: array<{area_files._POINT}>>) as MultiGeometry")
     assert area_files.placemark_vertices(marks).select("part").distinct().count() == 12_000
@@ -188,3 +188,19 @@ def test_stages_need_a_shared_folder_on_a_cluster(monkeypatch):
         shared_folder(session)
     context.getCheckpointDir = lambda: "hdfs://host/shared"
     assert shared_folder(session) == "hdfs://host/shared"
+
+
+def test_uploads_named_by_their_folder(spark, tmp_path):
+    """Names with signs that folders escape, and an extension in capitals."""
+    names = ["Área + 1.KML", "50% #2.kml", "a=b.kml", "plan.shp"]
+    spark.createDataFrame([(n, KML.format(f"<Placemark>{polygon(SQUARE)}</Placemark>")) for n in names], "file string, value string").write.partitionBy("file").text(f"{tmp_path}/up")
+    out = area_files.read_areas(spark, f"{tmp_path}/up", name=area_files.folder_name("file"), glob="part-*")
+    assert sorted(r["area"] for r in out.vertices.select("area").distinct().collect()) == ["50% #2", "a=b", "Área + 1"]
+    assert [tuple(r) for r in out.rejects.collect()] == [("plan.shp", "unsupported format")]
+
+
+def test_parts_follow_the_placemarks(spark, tmp_path):
+    marks = "".join(f"<Placemark><Point><coordinates>{i},1</coordinates></Point></Placemark>" for i in range(300))
+    put(str(tmp_path), "many.kml", KML.format(marks))
+    got = area_files.read_areas(spark, str(tmp_path)).vertices.orderBy("part").collect()
+    assert [(r["part"], r["lon"]) for r in got] == [(i, float(i)) for i in range(300)]
