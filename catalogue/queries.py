@@ -94,11 +94,11 @@ def claims(v: Inputs) -> DataFrame:
 
 
 def area_parts(v: Inputs) -> DataFrame:
-    return geo.polygon_parts(v.area_vertices, ["area"])
+    return geo.polygon_edges(v.area_vertices, ["area"])
 
 
 def region_parts(v: Inputs) -> DataFrame:
-    return geo.polygon_parts(v.region_vertices, ["kind", "label"])
+    return geo.polygon_edges(v.region_vertices, ["kind", "label"])
 
 
 def occurrences(v: Inputs) -> DataFrame:
@@ -713,14 +713,14 @@ R.REFERENCE["r_plot_over"] = R.over("r_plot_edges")
 
 @query("SELECT area, kind, label FROM r_plot_over")
 def area_regions(v):
-    plots = geo.polygon_parts(v.plot_vertices, ["area"])
+    plots = geo.polygon_edges(v.plot_vertices, ["area"])
     return geo.areas_over_regions(plots, region_parts(v))
 
 
-@query("""SELECT area, cast(CASE WHEN z BETWEEN 17 AND 25 THEN z + 31960 ELSE 5880 END AS INTEGER) AS epsg FROM
- (SELECT area, floor(((min(lon) + max(lon)) / 2 + 180) / 6) + 1 AS z FROM v_plot_vertices GROUP BY area)""")
+@query("""SELECT area, cast(CASE WHEN NOT south AND z BETWEEN 18 AND 22 THEN z + 31954 WHEN south AND z BETWEEN 17 AND 25 THEN z + 31960 ELSE 5880 END AS INTEGER) AS epsg FROM
+ (SELECT area, floor(((min(lon) + max(lon)) / 2 + 180) / 6) + 1 AS z, min(lat) + max(lat) < 0 AS south FROM v_plot_vertices GROUP BY area)""")
 def metric_zones(v):
-    return geo.area_zone(geo.polygon_parts(v.plot_vertices, ["area"]))
+    return geo.area_zone(geo.polygon_edges(v.plot_vertices, ["area"]))
 
 
 @query("SELECT area, cast(key AS VARCHAR) AS key, decimalLongitude, decimalLatitude, datasetKey, cast(taxonKey AS VARCHAR) AS taxonKey FROM r_near")
@@ -728,7 +728,7 @@ def occurrences_in_buffer(v):
     return near_points(v).select("area", "key", "decimalLongitude", "decimalLatitude", "datasetKey", "taxonKey")
 
 
-@query()
+@query("SELECT area, candidates, hits FROM r_candidates")
 def buffer_candidates(v):
     return geo.overfetch(occurrences(v), ver.buffer_cells(area_parts(v)), BUFFER_METRES)
 

@@ -102,10 +102,11 @@ SELECT concat('Fazenda ', n.k) AS area, n.part, n.ring, s.seq,
  cast(-23.5 + n.k * 0.6 + n.d + CASE WHEN s.seq IN (2,3) THEN n.w ELSE 0.0 END AS DOUBLE) AS lat
 FROM v_area_shapes n CROSS JOIN (SELECT r_regionkey AS seq FROM region) s""",
     # One small plot per customer: a study-area table that grows with the data.
+    # Some lie north of the equator, some outside the national zones.
     "v_plot_vertices": """
 SELECT concat('Plot ', c.c_custkey) AS area, 0 AS part, 0 AS ring, s.seq,
- cast(-50.0 + (c.c_custkey * 7919 % 4400) / 1000.0 + CASE WHEN s.seq IN (1,2) THEN 0.08 ELSE 0.0 END AS DOUBLE) AS lon,
- cast(-24.0 + (c.c_custkey * 104729 % 4600) / 1000.0 + CASE WHEN s.seq IN (2,3) THEN 0.08 ELSE 0.0 END AS DOUBLE) AS lat
+ cast(-50.0 + (c.c_custkey * 7919 % 4400) / 1000.0 - CASE c.c_custkey % 7 WHEN 3 THEN 17.0 WHEN 5 THEN 36.0 ELSE 0.0 END + CASE WHEN s.seq IN (1,2) THEN 0.08 ELSE 0.0 END AS DOUBLE) AS lon,
+ cast(-24.0 + (c.c_custkey * 104729 % 4600) / 1000.0 + CASE WHEN c.c_custkey % 5 = 2 THEN 25.0 ELSE 0.0 END + CASE WHEN s.seq IN (2,3) THEN 0.08 ELSE 0.0 END AS DOUBLE) AS lat
 FROM customer c CROSS JOIN (SELECT r_regionkey AS seq FROM region) s""",
     "v_region_vertices": """
 SELECT k.kind, CASE k.kind WHEN 'state' THEN CASE n.n_nationkey WHEN 0 THEN 'SP' WHEN 1 THEN 'RJ' WHEN 2 THEN 'MG'

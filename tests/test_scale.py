@@ -1,5 +1,6 @@
 """Joins and matchers that must stay exact when one key holds most rows."""
 
+import math
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from taxaledger.operators import joins as J
 from taxaledger.operators import occurrences as O
 from taxaledger.operators import spatial as G
 from taxaledger.operators.fuzzy import fuzzy_pairs
+from taxaledger.session import write_stage
 
 
 def edits(a, b):
@@ -110,7 +112,7 @@ def test_projection_and_buffer_of_a_point(spark):
     assert row["a"]["x"] == pytest.approx(500000.0, abs=1e-6)
     assert row["a"]["y"] - row["b"]["y"] == pytest.approx(110704.3 * 0.9996, abs=15)
     vertices = spark.createDataFrame([("p", 0, 0, 0, -47.9, -15.8)], "area string, part int, ring int, seq int, lon double, lat double")
-    parts = G.polygon_parts(vertices, ["area"])
+    parts = G.polygon_edges(vertices, ["area"])
     cells = G.area_cells(parts.join(G.area_zone(parts), "area"), 10_000.0)
     points = spark.createDataFrame([("in", -47.9, -15.8 + 9_900 / 110_650), ("out", -47.9, -15.8 + 10_100 / 110_650), ("east", -47.9 + 9_900 / 107_150, -15.8)],
                                    "key string, decimalLongitude double, decimalLatitude double")
@@ -122,7 +124,7 @@ def test_holes_and_cells(spark):
     hole = [(x * 0.5 + 0.25, y * 0.5 + 0.25) for x, y in ring]
     rows = [("a", 0, r, i, -50 + x, -20 + y) for r, vs in enumerate((ring, hole)) for i, (x, y) in enumerate(vs)]
     v = spark.createDataFrame(rows, "area string, part int, ring int, seq int, lon double, lat double")
-    cells = G.area_cells(G.polygon_parts(v, ["area"]).withColumn("epsg", F.lit(5880)), 0)
+    cells = G.area_cells(G.polygon_edges(v, ["area"]).withColumn("epsg", F.lit(5880)), 0)
     rng = random.Random(1)
     pts = [(i, -50.2 + rng.random() * 1.4, -20.2 + rng.random() * 1.4) for i in range(400)]
     p = spark.createDataFrame(pts, "id int, decimalLongitude double, decimalLatitude double")
@@ -144,7 +146,7 @@ def test_a_record_counts_once_per_area(spark):
     from taxaledger.operators import occurrences as O
 
     rows = _square("A", 0, 0, -50.0, -20.0, 0.1) + _square("A", 1, 0, -49.88, -20.0, 0.1)
-    parts = G.polygon_parts(spark.createDataFrame(rows, _VERTEX), ["area"])
+    parts = G.polygon_edges(spark.createDataFrame(rows, _VERTEX), ["area"])
     cells = G.area_cells(parts.join(G.area_zone(parts), "area"), 10_000.0)
     points = spark.createDataFrame([("1", -49.89, -19.95), ("2", -49.95, -19.95)], "key string, decimalLongitude double, decimalLatitude double")
     near = G.points_near(points, cells, 10_000.0).withColumn("taxon", F.lit("t")).withColumn("datasetKey", F.lit("d"))
@@ -159,9 +161,9 @@ def test_holes_and_their_winding(spark):
     outer = _square("A", 0, 0, -50.0, -20.5, 1.6)
     points = spark.createDataFrame([("hole", -49.1, -19.6), ("rim", -49.9, -19.6)], "key string, decimalLongitude double, decimalLatitude double")
     for ring in (hole, [(a, p, r, 4 - i, x, y) for a, p, r, i, x, y in hole]):
-        parts = G.polygon_parts(spark.createDataFrame(outer + ring, _VERTEX), ["area"])
+        parts = G.polygon_edges(spark.createDataFrame(outer + ring, _VERTEX), ["area"])
         zoned = parts.join(G.area_zone(parts), "area")
-        assert zoned.first()["epsg"] == 31982
+        assert {r["epsg"] for r in zoned.collect()} == {31982}
         cells = G.area_cells(zoned, 10_000.0)
         assert [r["key"] for r in G.points_near(points, cells, 10_000.0).collect()] == ["rim"]
 
@@ -169,7 +171,7 @@ def test_holes_and_their_winding(spark):
 def test_occurrence_scan_is_pruned(spark, tmp_path):
     path = str(tmp_path / "occ")
     spark.range(1000).selectExpr("cast(id as string) as key", "-60.0 + id / 50 as decimalLongitude", "-25.0 + id / 100 as decimalLatitude").write.parquet(path)
-    parts = G.polygon_parts(spark.createDataFrame(_square("A", 0, 0, -50.0, -20.0, 0.1), _VERTEX), ["area"])
+    parts = G.polygon_edges(spark.createDataFrame(_square("A", 0, 0, -50.0, -20.0, 0.1), _VERTEX), ["area"])
     cells = G.area_cells(parts.join(G.area_zone(parts), "area"), 10_000.0)
     plan = G.points_near(spark.read.parquet(path), cells, 10_000.0)._jdf.queryExecution().toString()
     pushed = plan.split("PushedFilters: [")[1]
@@ -184,3 +186,74 @@ def test_a_page_of_text_as_a_name(spark):
     lengths = spark.createDataFrame([(7,), (8,)], "_n int")
     got = query_signatures(names, "n", 0.1, lengths)
     assert got.where("length(n) > 100").count() == 0 and got.count() > 0
+
+
+def _even_odd(rings, x, y):
+    n = 0
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+            if (y1 > y) != (y2 > y) and x < x1 + (y - y1) / (y2 - y1) * (x2 - x1):
+                n += 1
+    return n % 2 == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_cells_equal_even_odd(spark, seed):
+    """Ragged outlines with a hole and a detached part, some on the grid's own lines, against the plain rule."""
+    rng = random.Random(seed)
+
+    def star(cx, cy, r, n, snap):
+        ring = [(cx + r * rng.uniform(0.4, 1) * math.cos(2 * math.pi * i / n), cy + r * rng.uniform(0.4, 1) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+        ring = [(round(x, 2), round(y, 2)) if snap else (x, y) for x, y in ring]
+        return ring + ring[:1]
+
+    parts = [[star(-50, -20, 0.8, 40, seed == 1), star(-50, -20, 0.25, 9, seed != 3)], [star(-48.5, -19.5, 0.3, 25, True)]]
+    rows = [("A", p, r, i, float(x), float(y)) for p, rings in enumerate(parts) for r, ring in enumerate(rings) for i, (x, y) in enumerate(ring)]
+    edges = G.polygon_edges(spark.createDataFrame(rows, _VERTEX), ["area"])
+    pts = [(i, rng.uniform(-51, -48), rng.uniform(-21, -19)) for i in range(1500)]
+    pts += [(2000 + i, rng.randrange(-1020, -960) / 20 + rng.choice([0, 1e-7]), rng.uniform(-21, -19)) for i in range(500)]
+    p = spark.createDataFrame(pts, "id int, decimalLongitude double, decimalLatitude double")
+    got = {r["id"] for r in G.points_near(p, G.area_cells(edges, 0.0), 0.0).collect()}
+    assert got == {i for i, x, y in pts if any(_even_odd(rings, x, y) for rings in parts)}
+
+
+def test_a_diagonal_takes_the_cells_it_crosses(spark):
+    """Ten degrees: two cells a grid row, not the 40,000 of the box."""
+    line = spark.createDataFrame([("a", 0, 0, 0, -50.013, -20.02, -40.001, -10.07)], "area string, part int, ring int, seq int, x1 double, y1 double, x2 double, y2 double")
+    cells = G.edge_cells(line)
+    rows = 10 * G.CELLS_PER_DEGREE
+    assert 1.9 * rows < cells.select("cell_x", "cell_y").distinct().count() == cells.count() < 2.1 * rows
+
+
+def test_an_outline_of_a_million_vertices(spark):
+    """A flower of a million vertices: no row holds more than a cell's share of it."""
+    n = 1_000_000
+    radius = "(1.5 + 0.3 * sin(40 * 2 * pi() * pmod(id, {n}) / {n}))".format(n=n)
+    vertices = spark.range(0, n + 1, 1, 16).selectExpr(
+        "'A' as area", "0 as part", "0 as ring", "id as seq",
+        f"-50 + {radius} * cos(2 * pi() * pmod(id, {n}) / {n}) as lon", f"-20 + {radius} * sin(2 * pi() * pmod(id, {n}) / {n}) as lat")
+    cells = G.area_cells(G.polygon_edges(vertices, ["area"]), 0.0)
+    cells = write_stage(cells)
+    assert cells.selectExpr("max(aggregate(parts, 0, (n, p) -> n + size(p.edges))) as most").first()["most"] < n / 200
+    rng = random.Random(4)
+    pts = [(i, rng.uniform(-52, -48), rng.uniform(-22, -18)) for i in range(3000)]
+    got = {r["id"] for r in G.points_near(spark.createDataFrame(pts, "id int, decimalLongitude double, decimalLatitude double"), cells, 0.0).collect()}
+    side = lambda x, y: math.hypot(x + 50, y + 20) - (1.5 + 0.3 * math.sin(40 * math.atan2(y + 20, x + 50)))
+    clear = {i: side(x, y) < 0 for i, x, y in pts if abs(side(x, y)) > 1e-6}
+    assert all((i in got) == held for i, held in clear.items())
+
+
+def test_hot_cells_are_split_on_both_sides(spark, monkeypatch):
+    """Many short edges of both sides in one cell: the same answer from split keys."""
+    monkeypatch.setattr(J, "TASK_ROWS", 20)
+    areas = [(f"A{i}", 0, 0, s, -50.001 + i * 1e-4 + dx * 5e-5, -20.001 + dy * 5e-5) for i in range(40) for s, (dx, dy) in enumerate([(0, 0), (1, 0), (1, 1), (0, 0)])]
+    regions = [("state", f"S{i}", 0, 0, s, -50.0012 + i * 2e-4 + dx * 2e-4, -20.002 + dy * 2e-3) for i in range(22) for s, (dx, dy) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)])]
+    a = G.polygon_edges(spark.createDataFrame(areas, _VERTEX), ["area"])
+    r = G.polygon_edges(spark.createDataFrame(regions, "kind string, label string, " + _VERTEX.split(", ", 1)[1]), ["kind", "label"])
+    got = {(x["area"], x["label"]) for x in G.areas_over_regions(a, r).collect()}
+    box = lambda rows, at: (min(v[at] for v in rows), max(v[at] for v in rows))
+    want = set()
+    for i in range(40):
+        lo, hi = box([v for v in areas if v[0] == f"A{i}"], 4)
+        want |= {(f"A{i}", f"S{j}") for j in range(22) if (b := box([v for v in regions if v[1] == f"S{j}"], 5)) and lo <= b[1] and hi >= b[0]}
+    assert got == want

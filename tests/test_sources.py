@@ -86,7 +86,7 @@ def test_kml_areas_and_rejects(spark, tmp_path):
     got = {r["area"]: (r["n"], r["parts"], r["r"]) for r in v}
     assert got == {"Fazenda A": (10, 1, 1), "dots": (1, 1, 0), "multi": (10, 2, 0)}
     assert {r["file"] for r in out.rejects.collect()} == {"evil.kml", "dtd.kml", "html.kml", "void.kml", "hollow.kml", "shape.zip"}
-    parts = spatial.polygon_parts(out.vertices, ["area"])
+    parts = spatial.polygon_edges(out.vertices, ["area"])
     points = spark.createDataFrame([(-49.5, -19.5), (-49.8, -19.8), (-47.0, -22.0)], "decimalLongitude double, decimalLatitude double")
     cells = spatial.area_cells(parts.where("area = 'Fazenda A'").withColumn("epsg", F.lit(5880)), 0)
     assert [tuple(r)[:2] for r in spatial.points_near(points, cells, 0).collect()] == [(-49.8, -19.8)]
