@@ -284,10 +284,12 @@ def areas_over_regions(area_edges: DataFrame, region_edges: DataFrame) -> DataFr
     one vertex of a part decides whether it lies inside the other polygon.
     """
     cell = ["cell_x", "cell_y"]
+    # Each is read four times: as edges in cells, for the hot cells, and on either side of the vertex tests.
+    area_edges, region_edges = write_stage(area_edges), write_stage(region_edges)
 
     def placed(edges: DataFrame, keys: list[str], prefix: str) -> DataFrame:
         named = [F.col(c).alias(f"{prefix}{c}") for c in ("x1", "y1", "x2", "y2")]
-        return write_stage(edge_cells(edges.select(*keys, "x1", "y1", "x2", "y2")).select(*keys, *cell, *named))
+        return edge_cells(edges.select(*keys, "x1", "y1", "x2", "y2")).select(*keys, *cell, *named)
 
     a, r = placed(area_edges, ["area"], "a_"), placed(region_edges, ["kind", "label"], "r_")
     touch = segments_touch(*[F.col(c) for c in ("a_x1", "a_y1", "a_x2", "a_y2", "r_x1", "r_y1", "r_x2", "r_y2")])
