@@ -34,7 +34,12 @@ FROM v_taxa t LEFT JOIN v_taxa a ON a.k = t.k + 4 WHERE t.k % 2 = 0
 UNION ALL
 SELECT t.k + 1000000, t.species, concat(t.species,' Engel'), a.species, 'Synonym', 'Plantae', t.genus, t.family,
  'Species', concat('G',t.k), 'RS', 'Pampa', NULL, 'Non-endemic'
-FROM v_taxa t JOIN v_taxa a ON a.k = t.k + 4 WHERE t.k % 14 = 0""",
+FROM v_taxa t JOIN v_taxa a ON a.k = t.k + 4 WHERE t.k % 14 = 0
+UNION ALL
+-- Spellings that this list alone accepts; the backbone has only the usual one.
+SELECT k + 2000000, concat(species, substr(species,length(species),1)), concat(species, substr(species,length(species),1), ' Schult.'),
+ concat(species, substr(species,length(species),1)), 'Accepted', 'Plantae', genus, family, 'Species', concat('H',k), 'SP', NULL, NULL, NULL
+FROM v_taxa WHERE k % 8 = 4""",
     "v_fauna": """
 SELECT k AS seq, species, species AS validName, CASE WHEN k % 9 = 0 THEN 'synonym' ELSE 'valid' END AS taxonomicStatus,
  genus, family, 'species' AS taxonRank, concat('A',k) AS id,

@@ -85,7 +85,7 @@ def with_near_keys(keyed: DataFrame, backbone: NameSource, name: str = "scientif
 
     A misspelled species keeps its key; only a name that the backbone knows by
     its genus alone has none. The closest names are searched once per distinct
-    open name.
+    open name. ``keyed`` is a written table.
     """
     open_names = keyed.where(F.col("usageKey").isNull() & is_filled(name)).select(F.col(name).alias("query_name")).distinct()
     best = fuzzy_best(write_stage(open_names.withColumn("ask", F.lit(1))), [backbone])
@@ -93,27 +93,26 @@ def with_near_keys(keyed: DataFrame, backbone: NameSource, name: str = "scientif
         F.col("query_name").alias(name), F.col("row.taxonID").alias("_near"),
         F.coalesce("row.acceptedNameUsageID", "row.taxonID").alias("_near_accepted"),
     )
+    filled = {"usageKey": "_near", "occurrenceKey": "_near_accepted"}
     return keyed.join(near, name, "left").select(
-        *[F.coalesce("usageKey", "_near").alias(c) if c == "usageKey" else F.coalesce("occurrenceKey", "_near_accepted").alias(c) if c == "occurrenceKey" else F.col(c)
-          for c in keyed.columns]
-    )
+        *[F.coalesce(c, filled[c]).alias(c) if c in filled else F.col(c) for c in keyed.columns])
 
 
-def redlist_category(rows: DataFrame, backbone: NameSource, by_key: DataFrame, near: bool = False) -> DataFrame:
+def redlist_category(rows: DataFrame, backbone: NameSource, by_key: DataFrame, near: bool = True) -> DataFrame:
     """Adds ``iucnCategory``.
 
-    A ``taxonID`` is a backbone key only on rows the backbone answered; every
-    other row goes by name. ``by_key`` has ``usageKey, code``. ``near``: names
-    without an exact key take that of the closest backbone name.
+    A ``taxonID`` is a backbone key only on rows the backbone answered: there
+    the cascade has handed on the key it matched, exactly or not. Every other
+    row goes by name. ``by_key`` has ``usageKey, code``. ``near``: names without
+    an exact key take that of the closest backbone name; only names whose row
+    has no key yet are searched.
     """
-    keyed = backbone_keys(rows, backbone)
-    if near:
-        keyed = with_near_keys(keyed, backbone)
-    keyed = keyed.drop("occurrenceKey")
     own = F.when((F.col("provider") == backbone.id) & (F.coalesce("taxonID", F.lit("")) != ""), F.col("taxonID"))
-    keyed = keyed.withColumn("_key", F.coalesce(own, F.col("usageKey"))).drop("usageKey")
-    codes = by_key.select(F.col("usageKey").cast("string").alias("_key"), F.col("code").alias("iucnCategory"))
-    return keyed.join(codes, "_key", "left").select(*rows.columns, "iucnCategory")
+    keyed = backbone_keys(rows, backbone).withColumn("usageKey", F.coalesce(own.cast("string"), F.col("usageKey").cast("string")))
+    if near:
+        keyed = with_near_keys(write_stage(keyed), backbone)
+    codes = by_key.select(F.col("usageKey").cast("string").alias("usageKey"), F.col("code").alias("iucnCategory"))
+    return keyed.join(codes, "usageKey", "left").select(*rows.columns, "iucnCategory")
 
 
 def may_have_criteria() -> Column:
