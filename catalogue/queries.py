@@ -317,6 +317,41 @@ def resolve_names(v):
     return cascade(v)
 
 
+def _with_a_failing_source(v: Inputs) -> tuple[DataFrame, DataFrame]:
+    """All sources, and one asked first whose rows cannot all be read."""
+    bad = v.fauna.withColumn("id", F.when(F.col("seq") % 3 == 0, F.raise_error(F.lit("unreadable row"))).otherwise(F.col("id")))
+    first = bases.checklist("broken", "Broken", 0, bad, accepted_column="validName", distribution=True)
+    return rsv.resolve_with_failures(new_names(v), [first, *sources(v)])
+
+
+@query("SELECT * FROM r_cascade")
+def failing_source(v):
+    """The other sources answer as if it were not there."""
+    return _with_a_failing_source(v)[0]
+
+
+@query("SELECT 'broken' AS provider, true AS said")
+def source_failures(v):
+    failed = _with_a_failing_source(v)[1]
+    return failed.select("provider", F.contains("error", F.lit("unreadable row")).alias("said"))
+
+
+@query("SELECT * EXCLUDE (taxonomicStatus) FROM r_cascade")
+def own_status_words(v):
+    """The flora under status words of its own answers as before."""
+    words = v.flora.withColumn("taxonomicStatus", F.when(F.col("taxonomicStatus") == "Synonym", "Outdated").otherwise("In use"))
+    own = bases.checklist("florabr", "Flora", 1, words, accepted_column="acceptedName", distribution=True,
+                          status_words={"in use": "accepted", "outdated": "synonym"})
+    return rsv.resolve_names(new_names(v), [own, fauna(v), gbif(v)]).drop("taxonomicStatus")
+
+
+@query("SELECT * FROM r_cascade")
+def empty_source(v):
+    """A source without rows, asked first, changes no answer."""
+    none = bases.checklist("empty", "Empty", 0, v.fauna.where("seq < 0"), accepted_column="validName", distribution=True)
+    return rsv.resolve_names(new_names(v), [none, *sources(v)])
+
+
 @query("""SELECT query_name, taxonID, st, source FROM (SELECT *, row_number() OVER (PARTITION BY query_name ORDER BY r DESC, ord DESC, seq DESC) AS rn FROM (
  SELECT species AS query_name, id AS taxonID, CASE WHEN syn THEN 'synonym' ELSE 'accepted' END AS st, CASE WHEN syn THEN 3 ELSE 4 END AS r, 1 AS ord, seq, 'florabr' AS source FROM r_flora
  UNION ALL SELECT species, id, CASE WHEN syn THEN 'synonym' ELSE 'accepted' END, CASE WHEN syn THEN 3 ELSE 4 END, 2, seq, 'faunabr' FROM r_fauna

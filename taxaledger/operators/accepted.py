@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import list_tokens, match_key, trimmed
-from ..sources.bases import NameSource
+from ..sources.bases import NameSource, status_meaning
 
 
 def accepted_names(source: NameSource) -> DataFrame:
@@ -19,7 +19,7 @@ def accepted_names(source: NameSource) -> DataFrame:
     disagree, has none: a wrong accepted name is worse than no name.
     """
     column = source.accepted_column
-    status = F.lower("taxonomicStatus")
+    status = status_meaning(source, F.col("taxonomicStatus"))
     base = source.table.select(
         "mk", "seq", status.alias("status"), trimmed(column).alias("acceptedName")
     )
@@ -36,6 +36,10 @@ def accepted_names(source: NameSource) -> DataFrame:
     return grouped.where(~F.col("homonym") & (F.col("low") == F.col("high"))).select("mk", "acceptedName")
 
 
+def knows_accepted_names(sources: Sequence[NameSource]) -> bool:
+    return any(s.accepted_column is not None for s in sources)
+
+
 def agreed_accepted_names(sources: Sequence[NameSource]) -> DataFrame:
     """``mk, acceptedName`` where all sources that answer agree on one name."""
     answers = [

@@ -11,7 +11,7 @@ from ..functions.status import (
 )
 from ..functions.text import filled_or, match_key, token_count
 from ..schema import CANONICAL_COLUMNS
-from ..sources.bases import BACKBONE, NameSource
+from ..sources.bases import BACKBONE, NameSource, status_meaning
 from .joins import first_per_key
 
 # Fields of a source row, before a verdict is made of it.
@@ -79,13 +79,13 @@ def backfill_taxonomy(rows: DataFrame, base: DataFrame, default_kingdom: str | N
 
 
 def _native_status(source: NameSource) -> Column:
-    """Status in the usual words: ``valid`` reads accepted."""
-    status = F.lower("taxonomicStatus")
-    words = {"valid": "accepted", **{k.lower(): v for k, v in source.status_words.items()}}
-    out = status
-    for word, meaning in words.items():
-        out = F.when(status == word, meaning).otherwise(out)
-    return out
+    """The status that a row shows: a source's own word as it stands, else the usual one."""
+    status = F.col("taxonomicStatus")
+    return status if source.status_words else status_meaning(source, status)
+
+
+def _synonym_row(source: NameSource) -> Column:
+    return _is_synonym(status_meaning(source, F.col("taxonomicStatus")))
 
 
 def checklist_rows(source: NameSource) -> DataFrame:
@@ -95,7 +95,7 @@ def checklist_rows(source: NameSource) -> DataFrame:
     from its species-rank row; both reductions share one aggregate.
     """
     base = source.table.withColumn("_status", _native_status(source))
-    synonym = _is_synonym(F.col("_status"))
+    synonym = _synonym_row(source)
     not_species = ~F.coalesce(F.lower("taxonRank") == "species", F.lit(False))
     fields = _base_fields(source.default_kingdom)
     packed = base.select(
@@ -119,7 +119,7 @@ def checklist_targets(source: NameSource) -> DataFrame:
     """``target, synonym, seq, row``: the names a typo can be corrected to."""
     base = source.table.withColumn("_status", _native_status(source))
     names = first_per_key(
-        base.select("species", "mk", _is_synonym(F.col("_status")).cast("int").alias("synonym"),
+        base.select("species", "mk", _synonym_row(source).cast("int").alias("synonym"),
                     F.col("seq"), "_status", "family"),
         ["species"], [F.col("synonym"), F.col("seq")],
     )
@@ -197,14 +197,18 @@ def _verdict(status: Column, name: Column, ids: Column, classes: Column) -> Colu
     )
 
 
-def checklist_verdict(query: Column, row: Column, spelling: str, exact: bool) -> Column:
+def checklist_verdict(query: Column, row: Column, spelling: str, exact: bool, source: NameSource | None = None) -> Column:
     """Status of a checklist answer, and which parts of its row may be used.
 
     A refused suggestion describes another taxon, so nothing of it is kept; an
-    exact key still owns its taxonomy.
+    exact key still owns its taxonomy. A source with its own status words
+    answers what they mean, and nothing for a word it does not define.
     """
     usable = is_usable(query, row["scientificName"])
-    status = F.when(usable, checklist_status(F.lit(spelling), row["taxonomicStatus"])).otherwise("not_found")
+    meant = checklist_status(F.lit(spelling), row["taxonomicStatus"])
+    if exact and source is not None and source.status_words:
+        meant = F.coalesce(status_meaning(source, row["taxonomicStatus"]), F.lit("not_found"))
+    status = F.when(usable, meant).otherwise("not_found")
     return _verdict(status, usable, F.lit(True) if exact else usable, F.lit(True) if exact else usable)
 
 

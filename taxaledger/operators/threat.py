@@ -15,7 +15,7 @@ from ..functions.text import filled_or, is_filled, match_key
 from ..schema import REPLACED_SOURCES
 from ..session import write_stage
 from ..sources.bases import NameSource
-from .accepted import agreed_accepted_names
+from .accepted import agreed_accepted_names, knows_accepted_names
 from .answers import backbone_rows
 from .joins import first_per_key
 from .nearest import fuzzy_best
@@ -61,9 +61,12 @@ def threatened_for_names(names: DataFrame, listed: DataFrame, sources: Sequence[
     ``names`` has one row per distinct name; its columns are kept. Typed names
     carry authors and are normalized first, unless they already are.
     """
-    table = agreed_accepted_names(sources)
     query = F.col(name) if normalized else normalize_name(name)
-    keyed = names.withColumn("_q", query).withColumn("_mk", match_key("_q"))
+    keyed = names.withColumn("_q", query)
+    if not knows_accepted_names(sources):
+        return threatened_lookup(keyed, listed, "_q", accepted=None).select(*names.columns, "statusMMA", "statusSourceMMA")
+    table = agreed_accepted_names(sources)
+    keyed = keyed.withColumn("_mk", match_key("_q"))
     keyed = keyed.join(table.select(F.col("mk").alias("_mk"), "acceptedName"), "_mk", "left").drop("_mk")
     out = threatened_lookup(keyed, listed, name="_q")
     return out.select(*names.columns, "statusMMA", "statusSourceMMA")

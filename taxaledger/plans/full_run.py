@@ -19,8 +19,8 @@ from ..operators.records import answers_for, name_weights, standardize
 from ..operators.results import results_view, run_summary
 from ..operators.threat import invasive_lookup, threatened_for_names
 from ..session import write_stage
-from ..sources.bases import NameSource
-from .resolve import resolve_names
+from ..sources.bases import NameSource, store_sources
+from .resolve import resolve_names, source_failures
 from .threat_status import threat_status
 from .verify import GeoResult, verify_distribution
 
@@ -53,6 +53,7 @@ class RunResult:
     audit: DataFrame
     geo: GeoResult | None
     linked: DataFrame
+    failures: DataFrame
 
     @property
     def unresolved(self) -> DataFrame:
@@ -83,18 +84,19 @@ def run_all(records: DataFrame, reference: Reference, geography: Geography | Non
     model = list(model_columns or [c for c in records.columns if c != seq])
     keys = ["scientificName", *(["locality"] if geography and "locality" in records.columns else [])]
     pairs = write_stage(name_weights(records, keys, seq))
+    sources, failures = store_sources(reference.sources)
     typed = write_stage(
         pairs.groupBy("scientificName").agg(F.min("seq").alias("seq"), F.min("new_seq").alias("new_seq"))
         .withColumn("query_name", normalize_name("scientificName"))
     )
     fresh = typed.where(F.col("new_seq").isNotNull())
-    cascade = resolve_names(fresh.where(is_filled("query_name")).select("query_name").distinct(), reference.sources)
+    cascade = resolve_names(fresh.where(is_filled("query_name")).select("query_name").distinct(), sources)
     cascade = write_stage(threat_status(
-        write_stage(cascade), reference.threatened, reference.sources, reference.redlist_by_key, reference.assessments
+        write_stage(cascade), reference.threatened, sources, reference.redlist_by_key, reference.assessments
     ))
 
     names = typed.where(is_filled("query_name")).select("query_name").distinct()
-    listed = threatened_for_names(names, reference.threatened, reference.sources, "query_name", normalized=True)
+    listed = threatened_for_names(names, reference.threatened, sources, "query_name", normalized=True)
     # The list key is written with the map: keeping only the hits would else
     # repeat the name parsing in the filter of the join.
     name_map = accepted_name_map(typed.where(is_filled("scientificName")), cascade)
@@ -110,7 +112,7 @@ def run_all(records: DataFrame, reference: Reference, geography: Geography | Non
         held = linked.join(typed.select("scientificName", "query_name"), "scientificName")
         geo = verify_distribution(
             geography.area_parts, names_by_area(held, name_map), geography.occurrences,
-            geography.region_parts, reference.sources,
+            geography.region_parts, sources,
         )
         geo = GeoResult(write_stage(geo.per_species), write_stage(geo.areas), geo.points, geo.wanted)
 
@@ -126,4 +128,4 @@ def run_all(records: DataFrame, reference: Reference, geography: Geography | Non
     audit = attach_invasive(audit_table(cascade, originals), invasive)
     if geo is not None:
         audit = attach_geo(audit, geo.per_species, geo.areas)
-    return RunResult(cascade, standardized, audit, geo, linked)
+    return RunResult(cascade, standardized, audit, geo, linked, source_failures(records.sparkSession, failures))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_name
@@ -24,7 +24,7 @@ from ..operators.canonical import canonical_rows, placeholder_rows
 from ..operators.nearest import fuzzy_best
 from ..schema import CANONICAL_COLUMNS
 from ..session import write_stage
-from ..sources.bases import BACKBONE, CHECKLIST, NameSource, in_priority
+from ..sources.bases import BACKBONE, CHECKLIST, NameSource, in_priority, store_sources
 
 
 def distinct_names(df: DataFrame, name_col: str = "scientificName") -> DataFrame:
@@ -36,6 +36,17 @@ def distinct_names(df: DataFrame, name_col: str = "scientificName") -> DataFrame
     return names.where(F.col("query_name").isNotNull()).distinct()
 
 
+def source_failures(spark: SparkSession, failures: Sequence[tuple[str, str]]) -> DataFrame:
+    """``provider, error`` of the sources that could not be asked."""
+    return spark.createDataFrame(list(failures), "provider string, error string")
+
+
+def resolve_with_failures(names: DataFrame, sources: Sequence[NameSource], fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The answers of the sources that can be read, and the failures of the others."""
+    held, failures = store_sources(sources)
+    return resolve_names(names, held, fuzzy), source_failures(names.sparkSession, failures)
+
+
 def _any(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
@@ -68,7 +79,7 @@ def resolve_names(names: DataFrame, sources: Sequence[NameSource], fuzzy: bool =
     # Verdicts of the exact rows, bound to columns: they are read many times.
     state = state.select("*", *[
         (backbone_verdict(query, F.col(f"e{i}"), F.lit("EXACT")) if s.kind == BACKBONE
-         else checklist_verdict(query, F.col(f"e{i}"), "Correct", exact=True)).alias(f"v{i}")
+         else checklist_verdict(query, F.col(f"e{i}"), "Correct", True, s)).alias(f"v{i}")
         for i, s in enumerate(sources)
     ])
     held = [F.col(f"e{i}").isNotNull() for i in range(len(sources))]

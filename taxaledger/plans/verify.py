@@ -60,11 +60,15 @@ def verify_distribution(
     taxon; the default counts every record. ``coverage`` (``area, taxon,
     status``) marks taxa whose records could not be had (``failed``) or only in
     part (``truncated``): no point found then means "not known", not "absent".
+    So does a missing backbone, without which no name has a taxon.
     """
-    backbone = next(s for s in sources if s.kind == BACKBONE)
-    accepted = names.select("scientificName").distinct()
-    keys = backbone_keys(accepted, backbone).select("scientificName", F.col("occurrenceKey").alias("taxon"))
-    wanted = write_stage(names.join(keys, "scientificName", "left"))
+    backbone = next((s for s in sources if s.kind == BACKBONE), None)
+    if backbone is None:
+        wanted = write_stage(names.withColumn("taxon", F.lit(None).cast("string")))
+    else:
+        accepted = names.select("scientificName").distinct()
+        keys = backbone_keys(accepted, backbone).select("scientificName", F.col("occurrenceKey").alias("taxon"))
+        wanted = write_stage(names.join(keys, "scientificName", "left"))
     taxa = wanted.where(F.col("taxon").isNotNull()).select("area", "taxon").distinct()
 
     near = by_taxon(occurrences_near(occ, buffer_cells(area_parts, metres), metres))
@@ -81,7 +85,7 @@ def verify_distribution(
     counts = distinct_counts(found, ["area", "taxon"])
 
     rows = wanted.join(counts, ["area", "taxon"], "left")
-    status = F.lit("complete")
+    status = F.lit("failed" if backbone is None else "complete")
     if page is not None:
         rows = rows.join(cut, ["area", "taxon"], "left")
         status = F.coalesce("gbif_status", status)
@@ -90,8 +94,12 @@ def verify_distribution(
         status = F.coalesce("_cov", status)
 
     places = region_lists(area_parts, areas_over_regions(area_parts, region_parts))
-    dist = distributions(sources).select(F.col("mk").alias("_mk"), "states", "biomes")
-    rows = rows.withColumn("_mk", match_key("scientificName")).join(dist, "_mk", "left").join(places, "area", "left")
+    rows = rows.join(places, "area", "left")
+    if any(s.distribution for s in sources):
+        dist = distributions(sources).select(F.col("mk").alias("_mk"), "states", "biomes")
+        rows = rows.withColumn("_mk", match_key("scientificName")).join(dist, "_mk", "left")
+    else:
+        rows = rows.withColumns({c: F.lit(None).cast("array<string>") for c in ("states", "biomes")})
     rows = rows.withColumn("gbif_status", status).withColumn(
         "_n", F.coalesce("gbif_count", F.lit(0))
     )

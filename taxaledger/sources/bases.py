@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key
+from ..session import run_folder
 
 CHECKLIST = "checklist"
 BACKBONE = "backbone"
@@ -49,6 +52,19 @@ class NameSource:
     max_distance: float = 0.1
 
 
+def status_meaning(source: NameSource, status: Column) -> Column:
+    """What a status word of a checklist means, in lower case: one of the usual
+    words (``valid`` reads accepted), or what the source says of its own words;
+    a word that it does not define means nothing."""
+    word = F.lower(status)
+    if not source.status_words:
+        return F.when(word == "valid", "accepted").otherwise(word)
+    out = F.lit(None).cast("string")
+    for own, meaning in source.status_words.items():
+        out = F.when(word == own.lower(), meaning).otherwise(out)
+    return out
+
+
 def _with_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     return df.select("*", *[F.lit(None).cast("string").alias(c) for c in missing])
@@ -70,9 +86,46 @@ def read_backbone(df: DataFrame) -> DataFrame:
     return _with_columns(df, BACKBONE_COLUMNS).withColumn("mk", match_key("canonicalName"))
 
 
-def write_base(df: DataFrame, table: str, buckets: int, key: str = "mk") -> None:
-    """Store a prepared base bucketed on its key, so lookups skip its shuffle."""
-    df.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(table)
+def store(source: NameSource, buckets: int | None = None) -> NameSource:
+    """The source on a table of its own, in buckets by match key and sorted by it.
+
+    Its rows are read, and their keys made, once. A join or an aggregate on the
+    key then needs no exchange on this side, whatever asks the source. The
+    default number of buckets is that of shuffle partitions, so the other
+    side's exchange fits it. The table's files lie with the other intermediate
+    tables and go with them (``session.drop_stages``).
+    """
+    spark = source.table.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"base_{uuid.uuid4().hex}"
+    # Rows of a bucket in one task first: else each task would write a file for each bucket.
+    rows = source.table.repartition(n, "mk")
+    rows.write.option("path", f"{run_folder(spark)}/{name}").bucketBy(n, "mk").sortBy("mk").saveAsTable(name)
+    return replace(source, table=spark.table(name))
+
+
+def _reason(error: Exception) -> str:
+    return next((line for line in str(error).splitlines() if line.strip()), type(error).__name__)
+
+
+def store_sources(sources: Iterable[NameSource]) -> tuple[list[NameSource], list[tuple[str, str]]]:
+    """Stored sources in priority order, and ``(id, error)`` of those that cannot be read.
+
+    A source may open and still fail while its rows are read, on some executor
+    in the middle of a job. Read here, each in a job of its own, it is skipped
+    and reported, and the others' answers stay. The jobs are handed in
+    together, so small sources do not wait for each other.
+    """
+    def attempt(source: NameSource) -> NameSource | tuple[str, str]:
+        try:
+            return store(source)
+        except Exception as error:  # noqa: BLE001 - any failure means "skip this one"
+            return source.id, _reason(error)
+
+    ordered = in_priority(sources)
+    with ThreadPoolExecutor(max(1, len(ordered))) as pool:
+        got = list(pool.map(attempt, ordered))
+    return [s for s in got if isinstance(s, NameSource)], [s for s in got if not isinstance(s, NameSource)]
 
 
 def checklist(id: str, label: str, priority: int, df: DataFrame, **options) -> NameSource:
@@ -98,6 +151,6 @@ def load_sources(
             source.table.schema  # a missing path or column shows here
             held.append(source)
         except Exception as error:  # noqa: BLE001 - any failure means "skip this one"
-            failures.append((name, str(error).splitlines()[0]))
+            failures.append((name, _reason(error)))
     report = spark.createDataFrame(failures, "provider string, error string")
     return in_priority(held), report
