@@ -572,10 +572,13 @@ def _write_sheets(v: Inputs) -> str:
     head = [f'"about{chr(10)}' + "this sheet\n" * 420 + '"', "", '"Nome","Registro","Local","Categoria"', '"scientificName","record_id","locality","status"']
     above = parts.select("part", F.posexplode(F.array(*[F.lit(h) for h in head])).alias("p", "value")).select("part", (F.col("p") - 10).cast("long").alias("at"), "value")
     body = records.where(kind == 1).select(part, F.col("record_id").cast("long").alias("at"), F.concat_ws(",", *[_quoted(c) for c in ("scientificName", "record_id", "locality", "status")]).alias("value"))
-    _write_text(above.unionByName(body), f"{path}/kind=b")
-    above = parts.select("part", F.lit(-1).cast("long").alias("at"), F.lit("locality\tscientificName\trecord_id").alias("value"))
+    # Records whose cells are all blank, between the others.
+    blank = parts.select("part", F.lit(1000).cast("long").alias("at"), F.lit('" ","","  ",""').alias("value"))
+    _write_text(above.unionByName(body).unionByName(blank), f"{path}/kind=b")
+    above = parts.select("part", F.lit(-1).cast("long").alias("at"), F.lit("\ufefflocality\tscientificName\trecord_id").alias("value"))
     body = records.where(kind == 2).select(part, F.col("record_id").cast("long").alias("at"), F.concat_ws("\t", F.coalesce("locality", F.lit("")), F.coalesce("scientificName", F.lit("")), "record_id").alias("value"))
-    _write_text(above.unionByName(body), f"{path}/kind=c")
+    blank = parts.select("part", F.explode(F.array(F.lit(500).cast("long"), F.lit(501).cast("long"))).alias("at"), F.lit("\t \t").alias("value"))
+    _write_text(above.unionByName(body).unionByName(blank), f"{path}/kind=c")
     return path
 
 
