@@ -884,6 +884,13 @@ def results_view(v):
     return full(v).view
 
 
+@query("SELECT * EXCLUDE (record_id) FROM r_view")
+def view_of_output(v):
+    """The same view from a finished output table."""
+    out = full(v)
+    return res.results_view(write_stage(out.standardized), out.cascade, out.geo.per_species)
+
+
 _THREATENED = f"({R.threatened('status')} OR {R.threatened('statusIUCN')})"
 
 
@@ -926,11 +933,11 @@ def map_points(v):
 
 @query("""SELECT (SELECT count(*) FROM v_records) AS records, (SELECT count(*) FROM r_names) AS new_names, (SELECT count(DISTINCT locality) FROM v_records) AS localities""")
 def input_inventory(v):
-    r = v.records
-    return r.agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count_distinct(F.when(~S.is_prefilled(r.columns), N.normalize_name("scientificName"))).alias("new_names"),
-        F.count_distinct(F.when(X.is_filled("locality"), X.trimmed("locality"))).alias("localities"),
-    )
+    return recs.input_inventory(v.records)
+
+
+@query("SELECT DISTINCT trim(locality) AS locality FROM v_records")
+def sheet_localities(v):
+    return recs.localities(v.records)
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.names import normalize_name, typed_authorship
 from ..functions.status import is_prefilled
-from ..functions.text import filled_or
+from ..functions.text import filled_or, is_filled, trimmed
 from ..schema import FILL_COLUMNS, NAME_COLUMNS, REPLACED_SOURCES
-from .joins import lookup_join
+from ..session import write_stage
+from .joins import hot_keys, lookup_join
 from .threat import apply_threatened_status
 
 
@@ -64,10 +65,12 @@ def standardize(records: DataFrame, answers: DataFrame, keys: list[str], model_c
 
     ``answers`` is a written ``answers_for`` table, unique on ``keys``. Records
     that arrive validated keep their taxonomy; the threatened list, the
-    invasive list and the flag go to every record.
+    invasive list and the flag go to every record. Where ``answers`` carries
+    ``_view_new`` and ``_view_typed`` (``results.view_answers``), the one that
+    fits the row comes along as ``_view``.
     """
     model = list(model_columns or records.columns)
-    has = {c: c in answers.columns for c in ("_c", "_m", "_invasive", "_flag")}
+    has = {c: c in answers.columns for c in ("_c", "_m", "_invasive", "_flag", "_view_new", "_view_typed")}
     used = [c for c, there in has.items() if there]
     wide = lookup_join(records, answers.select(*keys, *[k for k in keep if k not in keys and k not in records.columns], *used), keys, hot=hot)
     for name in [c for c in [*model, name_col] if c not in wide.columns]:
@@ -102,6 +105,7 @@ def standardize(records: DataFrame, answers: DataFrame, keys: list[str], model_c
         *[new.get(c, F.col(c)).alias(c) for c in model], *[k for k in keep if k not in model],
         answer("statusMMA").alias("_cat"), answer("statusSourceMMA").alias("_src"), answered.alias("_answered"),
         *[F.col(c) for c in ("_invasive", "_flag") if has[c]],
+        *([F.when(fill, F.col("_view_new")).otherwise(F.col("_view_typed")).alias("_view")] if has["_view_new"] else []),
     )
     out = apply_threatened_status(out, "_cat", "_src", replaced, where="_answered")
     # A flag typed in the sheet belongs to another run and never survives.
@@ -115,7 +119,19 @@ def standardize(records: DataFrame, answers: DataFrame, keys: list[str], model_c
             F.when(F.col("_invasive").isNotNull(), True).alias("invasive"),
             F.col("_invasive").alias("invasiveSource"),
         ]
-    return out.select(*columns, *[k for k in keep if k not in model])
+    return out.select(*columns, *[k for k in keep if k not in model], *(["_view"] if has["_view_new"] else []))
+
+
+def _attach_by_name(records: DataFrame, table: DataFrame, keys: list[str], name_col: str, hot: DataFrame | None) -> DataFrame:
+    """Join ``table`` on the normalized name ``_q`` and the other ``keys``.
+
+    Names are parsed once each: the records are reduced to their distinct keys
+    first, and the answers go back on the typed name.
+    """
+    raw = [name_col, *[k for k in keys if k != "_q"]]
+    weights = records.groupBy(*raw).agg(F.count(F.lit(1)).alias("_w"))
+    answers = write_stage(weights.withColumn("_q", normalize_name(name_col)).join(table, keys, "left").drop("_q"))
+    return lookup_join(records, answers.drop("_w"), raw, hot=hot if hot is not None else hot_keys(answers, raw, weight="_w"))
 
 
 def attach_flags(records: DataFrame, flags: DataFrame, hot: DataFrame | None = None,
@@ -127,13 +143,33 @@ def attach_flags(records: DataFrame, flags: DataFrame, hot: DataFrame | None = N
     by_area = "area" in records.columns and "area" in flags.columns
     keys = [*(["area"] if by_area else []), "_q"]
     table = flags.select(F.col("query_name").alias("_q"), *(["area"] if by_area else []), "distributionFlag")
-    plain = records.drop("distributionFlag").withColumn("_q", normalize_name(name_col))
-    return lookup_join(plain, table, keys, hot=hot).drop("_q")
+    return _attach_by_name(records.drop("distributionFlag"), table, keys, name_col, hot)
 
 
 def attach_invasive(records: DataFrame, hits: DataFrame, hot: DataFrame | None = None,
                     name_col: str = "scientificName") -> DataFrame:
     """``invasive`` (true or null) and ``invasiveSource`` on every record."""
     table = hits.select(F.col("query_name").alias("_q"), F.lit(True).alias("invasive"), "invasiveSource")
-    plain = records.drop("invasive", "invasiveSource").withColumn("_q", normalize_name(name_col))
-    return lookup_join(plain, table, ["_q"], hot=hot).drop("_q")
+    return _attach_by_name(records.drop("invasive", "invasiveSource"), table, ["_q"], name_col, hot)
+
+
+def localities(records: DataFrame, column: str = "locality") -> DataFrame:
+    """The localities of a sheet, trimmed, each once, in order; the areas are linked to them."""
+    place = trimmed(column)
+    return records.where(is_filled(column)).select(place.alias(column)).distinct().orderBy(column)
+
+
+def input_inventory(records: DataFrame, name_col: str = "scientificName", locality_col: str = "locality") -> DataFrame:
+    """One row: ``records``, ``new_names`` to resolve and ``localities``.
+
+    Records are reduced to distinct (name, locality) pairs, so names are parsed
+    once a pair at most and no record is held for a distinct count.
+    """
+    has = [c for c in (name_col, locality_col) if c in records.columns]
+    fresh = F.max(~is_prefilled(records.columns)).alias("_fresh")
+    pairs = write_stage(records.groupBy(*has).agg(F.count(F.lit(1)).alias("_n"), fresh))
+    names = pairs.where("_fresh").select(name_col).distinct().select(normalize_name(name_col).alias("_q"))
+    counts = pairs.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("records"))
+    counts = counts.withColumn("new_names", names.agg(F.count_distinct("_q")).scalar())
+    places = localities(pairs, locality_col).agg(F.count(F.lit(1))).scalar() if locality_col in has else F.lit(0).cast("long")
+    return counts.withColumn("localities", places)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,7 +16,7 @@ from ..operators.area_links import (
 from ..operators.audit import attach_geo, attach_invasive, audit_table, original_names, unresolved
 from ..operators.joins import hot_keys
 from ..operators.records import answers_for, name_weights, standardize
-from ..operators.results import results_view, run_summary
+from ..operators.results import run_summary, view_answers, view_of
 from ..operators.threat import invasive_lookup, threatened_for_names
 from ..session import write_stage
 from ..sources.bases import NameSource, store_sources
@@ -54,6 +54,7 @@ class RunResult:
     geo: GeoResult | None
     linked: DataFrame
     failures: DataFrame
+    make_view: Callable[[], DataFrame]
 
     @property
     def unresolved(self) -> DataFrame:
@@ -69,7 +70,7 @@ class RunResult:
 
     @property
     def view(self) -> DataFrame:
-        return results_view(self.standardized, self.cascade, self.geo.per_species if self.geo else None)
+        return self.make_view()
 
 
 def run_all(records: DataFrame, reference: Reference, geography: Geography | None = None,
@@ -119,13 +120,17 @@ def run_all(records: DataFrame, reference: Reference, geography: Geography | Non
     answers = write_stage(answers_for(
         linked, cascade, listed, invasive, geo.per_species.select("area", "query_name", "distributionFlag") if geo else None
     ))
-    standardized = standardize(
-        records, answers, keys, model, hot=hot_keys(answers, keys, weight="n"),
-        keep=(seq, *(("area",) if geo else ())),
-    )
+    keep = (seq, *(("area",) if geo else ()))
+    hot = hot_keys(answers, keys, weight="n")
+    standardized = standardize(records, answers, keys, model, hot=hot, keep=keep)
+
+    def make_view() -> DataFrame:
+        shown = write_stage(view_answers(answers, cascade, geo.per_species if geo else None))
+        return view_of(standardize(records, shown, keys, model, hot=hot, keep=keep))
+
 
     originals = original_names(fresh.select("scientificName", "query_name", F.col("new_seq").alias("seq")))
     audit = attach_invasive(audit_table(cascade, originals), invasive)
     if geo is not None:
         audit = attach_geo(audit, geo.per_species, geo.areas)
-    return RunResult(cascade, standardized, audit, geo, linked, source_failures(records.sparkSession, failures))
+    return RunResult(cascade, standardized, audit, geo, linked, source_failures(records.sparkSession, failures), make_view)
