@@ -406,9 +406,10 @@ def most_restrictive(v):
     return thr.most_restrictive(v.mma)
 
 
-@query(f"""SELECT n.query_name, m.category AS statusMMA, m.source AS statusSourceMMA FROM r_names n LEFT JOIN r_mma m ON m.match_key = n.mk""")
+@query(f"SELECT * FROM ({R.mma_for('r_names', 'query_name', 'x.query_name')})")
 def mma_lookup(v):
-    return thr.threatened_lookup(new_names(v), v.mma, accepted=None)
+    """Own key first, else that of the accepted name the checklists agree on."""
+    return thr.threatened_for_names(new_names(v).select("query_name"), v.mma, sources(v), "query_name", normalized=True)
 
 
 @query("""SELECT t.scientificName, m.statusMMA, m.statusSourceMMA FROM r_typed t LEFT JOIN r_mma_names m ON m.query_name = t.query_name""")
