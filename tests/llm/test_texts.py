@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from taxaledger.llm import bag_minhash, near_duplicates, pseudo_likelihood, secret_scan, window_network, winnowing
+from taxaledger.llm import bag_minhash, near_duplicates, overlap_blocks, pseudo_likelihood, secret_scan, window_network, winnowing
 from taxaledger.llm.trigram_query import ANY, matches_query, trigram_query
 from taxaledger.llm.word_hashes import Words, mixed
 
@@ -125,10 +125,12 @@ def near_copies(n):
     return texts + texts[:20]
 
 
-@pytest.mark.parametrize("linear", [0, 4])
-def test_near_duplicates_lose_no_link(llm, monkeypatch, linear):
-    """With ``linear`` 0 all is left to the rounds of leaders."""
-    monkeypatch.setattr(near_duplicates, "LINEAR", linear)
+@pytest.mark.parametrize("block", [1, 900, 1 << 18])
+def test_near_duplicates_lose_no_link(llm, monkeypatch, block):
+    """With small blocks each ball is many cells."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "LEAST", 1)
+    monkeypatch.setattr(near_duplicates, "CHUNK", 7 if block == 1 else 4096)
     texts = near_copies(60)
     df = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = near_duplicates.near_duplicates(df).orderBy("doc_id").collect()
@@ -145,6 +147,25 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert near_duplicates.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("n_left", [0, 1, 30])
+def test_overlaps_of_blocks(n_left):
+    """Shared hashes of 70 bags, some in nearly all of them, against multisets."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 2 + i % 9, 40)) for i in range(70)]
+    doc, h = overlap_blocks.unary(*bag_minhash.shingles(Words([t.encode() for t in texts]), 2))
+    bags = [h[doc == i] for i in range(70)]
+    plain = [Counter(zip(t.split(), t.split()[1:])) for t in texts]
+    got = overlap_blocks.overlaps(bags, n_left)
+    want = [[sum((a & b).values()) for b in plain[n_left:]] for a in plain[: n_left or 70]]
+    for i, j in zip(*np.nonzero(got != want), strict=True):
+        assert not n_left and i == j  # a bag's own hashes in a few bags are not counted with itself
+    a, b = overlap_blocks.links(bags, np.arange(70), n_left, 0.5)
+    up = dict(zip(b.tolist(), a.tolist(), strict=True))
+    linked = [(i, j) for i in range(n_left or 70) for j in range(n_left or i + 1, 70) if sum((plain[i] & plain[j]).values()) >= 0.5 * sum((plain[i] | plain[j]).values())]
+    assert linked and all(up.get(i, i) == up.get(j, j) for i, j in linked)
+    assert len(up) == len({x for p in linked for x in p}) - len({up.get(x, x) for p in linked for x in p})
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 63, 300).astype(np.uint64)
