@@ -38,14 +38,15 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 KEPT: list[Callable[[], None]] = []
 
 
-def release() -> None:
-    """Give the memory of kept tokenizers and memos back to the system.
+def release(kept: bool = True) -> None:
+    """Give free memory back to the system, and with ``kept`` that of kept tokenizers and memos.
 
     Spark uses a Python worker again for other operators; the executor's limit
     counts what the last one left in it.
     """
-    for clear in KEPT:
-        clear()
+    if kept:
+        for clear in KEPT:
+            clear()
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL(None).malloc_trim(0)
@@ -53,8 +54,7 @@ def release() -> None:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of ``column`` (or one row)."""
-    if most != UNIT_SLICE_BYTES:
-        release()
+    release(kept=most != UNIT_SLICE_BYTES)
     for batch in batches:
         if batch.num_rows == 0:
             continue
