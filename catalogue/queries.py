@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -244,25 +245,42 @@ def parsed_occurrences(v):
     return occs.parse_occurrences(raw).select("key", "decimalLongitude", "decimalLatitude", "datasetKey")
 
 
-@query("SELECT mk, query_name FROM r_names WHERE mk IN (SELECT mk FROM r_flora)")
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _keys_by_source(v: Inputs) -> DataFrame:
+    """``provider, mk``: the keys that each source holds."""
+    return _stacked([s.table.select(F.lit(s.id).alias("provider"), "mk").distinct() for s in sources(v)])
+
+
+@query("""SELECT 'florabr' AS provider, mk, query_name FROM r_names WHERE mk IN (SELECT mk FROM r_flora)
+ UNION ALL SELECT 'faunabr', mk, query_name FROM r_names WHERE mk IN (SELECT mk FROM r_fauna)
+ UNION ALL SELECT 'gbif', mk, query_name FROM r_names WHERE mk IN (SELECT mk FROM r_backbone)""")
 def exact_match(v):
-    return ans.exact_names(new_names(v), flora(v).table).select("query_name", X.match_key("query_name").alias("mk"))
+    """The names that each source holds verbatim."""
+    names = write_stage(new_names(v))
+    return _stacked([ans.exact_names(names, s.table).select(F.lit(s.id).alias("provider"), X.match_key("query_name").alias("mk"), "query_name") for s in sources(v)])
 
 
-@query("""SELECT n.query_name, b.id AS taxonID, b.kingdom, b.family, b.genus, b.taxonRank, b.author AS scientificNameAuthorship, b.means AS establishmentMeans, b.remark AS taxonRemarks
- FROM r_names n LEFT JOIN r_flora_b b ON b.mk = n.mk""")
+@query("""SELECT 'florabr' AS provider, n.query_name, b.id AS taxonID, b.kingdom, b.family, b.genus, b.taxonRank, b.author AS scientificNameAuthorship, b.means AS establishmentMeans, b.remark AS taxonRemarks
+ FROM r_names n LEFT JOIN r_flora_b b ON b.mk = n.mk
+ UNION ALL SELECT 'faunabr', n.query_name, b.id, CASE WHEN b.mk IS NOT NULL THEN 'Animalia' END, b.family, b.genus, b.taxonRank, NULL, NULL, NULL
+ FROM r_names n LEFT JOIN r_fauna_v b ON b.mk = n.mk""")
 def taxonomy_backfill(v):
-    rows = new_names(v).withColumn("scientificName", F.col("query_name"))
-    out = ans.backfill_taxonomy(rows, flora(v).table)
-    return out.select("query_name", "taxonID", "kingdom", "family", "genus", "taxonRank",
-                      "scientificNameAuthorship", "establishmentMeans", "taxonRemarks")
+    """The blank taxonomy of every name, filled by each checklist."""
+    rows = write_stage(new_names(v).withColumn("scientificName", F.col("query_name")))
+    out = [ans.backfill_taxonomy(rows, s.table, s.default_kingdom).withColumn("provider", F.lit(s.id)) for s in (flora(v), fauna(v))]
+    return _stacked(out).select("provider", "query_name", "taxonID", "kingdom", "family", "genus", "taxonRank",
+                                "scientificNameAuthorship", "establishmentMeans", "taxonRemarks")
 
 
 # --- lookups --------------------------------------------------------------
 
-@query("SELECT mk, acceptedName FROM r_acc_f")
+@query("SELECT 'florabr' AS provider, mk, acceptedName FROM r_acc_f UNION ALL SELECT 'faunabr', mk, acceptedName FROM r_acc_a")
 def accepted_name(v):
-    return acc.accepted_names(flora(v))
+    """What each checklist calls the accepted name of its synonyms."""
+    return _stacked([acc.accepted_names(s).select(F.lit(s.id).alias("provider"), "mk", "acceptedName") for s in (flora(v), fauna(v))])
 
 
 @query("SELECT n.query_name, a.acceptedName FROM r_names n LEFT JOIN r_acc a ON a.mk = n.mk")
@@ -276,29 +294,55 @@ def distribution_lookup(v):
     return acc.lookup_distribution(new_names(v), acc.distributions(sources(v)))
 
 
-_FUZZY = """SELECT DISTINCT q.query_name, f.species, levenshtein(q.query_name, f.species) AS distance FROM r_names q, r_flora f
- WHERE q.mk NOT IN (SELECT mk FROM r_flora) AND abs(length(q.query_name) - length(f.species)) <= ceil(0.1 * length(q.query_name))
- AND levenshtein(q.query_name, f.species) <= ceil(0.1 * length(q.query_name))"""
+def _close(table: str, name: str, provider: str) -> str:
+    return f"""SELECT DISTINCT '{provider}' AS provider, q.query_name, f.{name} AS species, levenshtein(q.query_name, f.{name}) AS distance
+ FROM r_names q, {table} f WHERE q.mk NOT IN (SELECT mk FROM {table}) AND abs(length(q.query_name) - length(f.{name})) <= ceil(0.1 * length(q.query_name))
+ AND levenshtein(q.query_name, f.{name}) <= ceil(0.1 * length(q.query_name))"""
 
 
-@query(_FUZZY)
+@query(" UNION ALL ".join([_close("r_flora", "species", "florabr"), _close("r_fauna", "species", "faunabr"), _close("r_backbone", "canonicalName", "gbif")]))
 def fuzzy_match(v):
-    base = flora(v).table
-    open_names = new_names(v).withColumn("mk", X.match_key("query_name")).join(base, "mk", "left_anti").drop("mk")
-    pairs = fuzzy_pairs(open_names, base.select("species").distinct(), "query_name", "species")
-    return pairs.select("query_name", "species", F.col("distance").cast("long").alias("distance")).distinct()
+    """Each name against the spellings of every source that does not hold it.
 
-
-@query("""SELECT o.query_name, n.species, n.seq, n.d AS distance FROM (SELECT query_name FROM r_open_f) o JOIN r_near_f n ON n.query_name = o.query_name""")
+    Sources share most spellings, so pairs are searched once over all of them
+    and then dealt to the sources.
+    """
+    src = sources(v)
+    names = write_stage(new_names(v).withColumn("mk", X.match_key("query_name")))
+    held = write_stage(names.join(_keys_by_source(v), "mk").select("provider", "query_name"))
+    by_all = held.groupBy("query_name").count().where(F.col("count") == len(src))
+    spelled = _stacked([
+        s.table.select(F.lit(s.id).alias("provider"), F.col("canonicalName" if s.kind == bases.BACKBONE else "species").alias("species")).distinct()
+        for s in src
+    ])
+    spelled = write_stage(spelled.where(F.col("species").isNotNull()))
+    open_names = names.join(by_all, "query_name", "left_anti").select("query_name")
+    pairs = fuzzy_pairs(open_names, spelled.select("species").distinct(), "query_name", "species")
+    pairs = pairs.select("query_name", "species", F.col("distance").cast("long").alias("distance")).distinct()
+    dealt = pairs.join(spelled, "species").join(held, ["provider", "query_name"], "left_anti")
+    return dealt.select("provider", "query_name", "species", "distance")
+
+
+@query("""SELECT 'florabr' AS provider, query_name, species, seq, d AS distance FROM r_near_f
+ UNION ALL SELECT 'faunabr', query_name, species, seq, d FROM r_near_a
+ UNION ALL SELECT 'gbif', query_name, canonicalName, usageKey, d FROM r_near_b""")
 def fuzzy_best(v):
-    # The names both checklists and the backbone leave open, asked to the flora.
+    """The closest spelling in each source that is asked to guess a name."""
     src = sources(v)
-    rows = cascade(v)
-    held = src[0].table.select("mk").unionByName(src[1].table.select("mk")).distinct()
-    open_names = rows.where("validation_status <> 'accepted'").select("query_name").withColumn(
-        "mk", X.match_key("query_name")).join(held, "mk", "left_anti").select("query_name", F.lit(1).alias("ask"))
-    best = rsv.fuzzy_best(open_names, [src[0]])
-    return best.select("query_name", F.col("target").alias("species"), "seq", F.col("distance").cast("long").alias("distance"))
+    names = write_stage(new_names(v).withColumn("mk", X.match_key("query_name")))
+    held = names.join(_keys_by_source(v), "mk").groupBy("query_name").agg(F.collect_set("provider").alias("held"))
+    # Nothing is accepted by an exact key of a checklist; nor, for the checklists' guesses, by the backbone.
+    exact = rsv.resolve_names(names.select("query_name"), src[:2], fuzzy=False).where("validation_status <> 'accepted'").select("query_name")
+    left = cascade(v).where("validation_status <> 'accepted'").select("query_name", F.lit(True).alias("open"))
+    state = exact.join(left, "query_name", "left").join(held, "query_name", "left")
+    holds = lambda s: F.coalesce(F.array_contains("held", s.id), F.lit(False))
+    open_ = F.coalesce("open", F.lit(False))
+    asked = [open_ & ~holds(src[0]) & ~holds(src[1]), open_ & ~holds(src[1]), ~holds(src[2])]
+    ask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(asked)])
+    state = write_stage(state.select("query_name", ask.cast("int").alias("ask")).where("ask <> 0"))
+    best = rsv.fuzzy_best(state, src)
+    return best.select(F.get(F.array(*[F.lit(s.id) for s in src]), F.col("src")).alias("provider"), "query_name",
+                       F.col("target").alias("species"), "seq", F.col("distance").cast("long").alias("distance"))
 
 
 @query("SELECT query_name, sn, ts, vs, taxonID, acceptedNameUsageID, taxonRank, kingdom, family FROM r_answer_b")
@@ -808,13 +852,18 @@ def _geo(v: Inputs) -> ver.GeoResult:
     return ver.verify_distribution(area_parts(v), write_stage(_area_names(v)), occurrences(v), region_parts(v), sources(v))
 
 
-@query(f"""SELECT n.query_name, a.area_key, list_has_any(['SP','RJ'], d.states) AS state_match FROM
- (SELECT query_name, mk FROM r_names) n JOIN r_dist d ON d.mk = n.mk AND len(d.states) > 0 CROSS JOIN (SELECT 'sp;rj' AS area_key) a""")
+@query("""SELECT n.area, n.query_name, CASE WHEN len(d.states) > 0 AND len(p.area_states) > 0 THEN list_has_any(p.area_states, d.states) END AS state_match,
+ CASE WHEN len(d.biomes) > 0 AND len(p.area_biomes) > 0 THEN list_has_any(p.area_biomes, d.biomes) END AS biome_match
+ FROM r_area_names n LEFT JOIN r_dist d ON d.mk = trim(regexp_replace(strip_accents(lower(n.scientificName)),'[^a-z0-9]+',' ','g')) LEFT JOIN r_places p ON p.area = n.area""")
 def crosscheck(v):
-    dist = acc.distributions(sources(v))
-    rows = new_names(v).withColumn("mk", X.match_key("query_name")).join(dist, "mk").where(F.size("states") > 0)
-    area = F.array(F.lit("SP"), F.lit("RJ"))
-    return rows.select("query_name", F.lit("sp;rj").alias("area_key"), S.dimension_match(area, F.col("states")).alias("state_match"))
+    """Every name of every area: its states and biomes against the area's; null where either knows none."""
+    parts = area_parts(v)
+    places = geo.region_lists(parts, geo.areas_over_regions(parts, region_parts(v)))
+    rows = _area_names(v).withColumn("mk", X.match_key("scientificName")).join(acc.distributions(sources(v)), "mk", "left").join(places, "area", "left")
+    none = F.array().cast("array<string>")
+    return rows.select(
+        "area", "query_name", S.dimension_match(F.col("area_states"), F.coalesce("states", none)).alias("state_match"),
+        S.dimension_match(F.col("area_biomes"), F.coalesce("biomes", none)).alias("biome_match"))
 
 
 @query("SELECT area, query_name, scientificName, has_gbif, gbif_count, gbif_failed, gbif_status, state_match, biome_match, present, distributionFlag FROM r_geo")
