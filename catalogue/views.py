@@ -113,6 +113,12 @@ SELECT concat('Plot ', c.c_custkey) AS area, 0 AS part, 0 AS ring, s.seq,
  cast(-50.0 + (c.c_custkey * 7919 % 4400) / 1000.0 - CASE c.c_custkey % 7 WHEN 3 THEN 17.0 WHEN 5 THEN 36.0 ELSE 0.0 END + CASE WHEN s.seq IN (1,2) THEN 0.08 ELSE 0.0 END AS DOUBLE) AS lon,
  cast(-24.0 + (c.c_custkey * 104729 % 4600) / 1000.0 + CASE WHEN c.c_custkey % 5 = 2 THEN 25.0 ELSE 0.0 END + CASE WHEN s.seq IN (2,3) THEN 0.08 ELSE 0.0 END AS DOUBLE) AS lat
 FROM customer c CROSS JOIN (SELECT r_regionkey AS seq FROM region) s""",
+    # The records moved to where plots lie, so that every kind of zone has some.
+    "v_plot_occ": """
+SELECT key, taxonKey, speciesKey, genusKey, datasetKey,
+ decimalLongitude - CAST(CASE key % 7 WHEN 3 THEN 17 WHEN 5 THEN 36 ELSE 0 END AS DOUBLE) AS decimalLongitude,
+ decimalLatitude + CAST(CASE WHEN key % 5 = 2 THEN 25 ELSE 0 END AS DOUBLE) AS decimalLatitude
+FROM v_occ""",
     "v_region_vertices": """
 SELECT k.kind, CASE k.kind WHEN 'state' THEN CASE n.n_nationkey WHEN 0 THEN 'SP' WHEN 1 THEN 'RJ' WHEN 2 THEN 'MG'
   WHEN 3 THEN 'DF' WHEN 4 THEN 'GO' WHEN 5 THEN 'BA' WHEN 6 THEN 'AM' WHEN 7 THEN 'AC' ELSE 'RS' END
