@@ -811,11 +811,11 @@ def occurrences_in_buffer(v):
     return near_points(v).select("area", "key", "decimalLongitude", "decimalLatitude", "datasetKey", "taxonKey")
 
 
-@query("SELECT area, cast(key AS VARCHAR) AS key, cast(genusKey AS VARCHAR) AS genusKey FROM r_plot_near")
+@query("SELECT area, cast(key AS VARCHAR) AS key, cast(taxonKey AS VARCHAR) AS taxonKey, cast(genusKey AS VARCHAR) AS genusKey, decimalLongitude, decimalLatitude FROM r_plot_near")
 def plot_occurrences(v):
     """The records near each plot: as many areas as customers, in zones of all kinds."""
     cells = ver.buffer_cells(geo.polygon_edges(v.plot_vertices, ["area"]))
-    return ver.occurrences_near(occs.parse_occurrences(v.plot_occ), cells).select("area", "key", "genusKey")
+    return ver.occurrences_near(occs.parse_occurrences(v.plot_occ), cells).select("area", "key", "taxonKey", "genusKey", "decimalLongitude", "decimalLatitude")
 
 
 @query("SELECT area, candidates, hits FROM r_candidates")
