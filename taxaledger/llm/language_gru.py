@@ -4,14 +4,16 @@ Two recurrent layers of gated units read each run of ``STEPS`` bytes from both
 sides; a softmax over both states labels every position; a document's
 probabilities are the mean over all its bytes. The network is trained in numpy
 by backpropagation through time, on the driver, on a bounded sample
-(``PER_LABEL`` documents a language, ``PIECES`` pieces of ``LENGTH`` characters
-each). Prediction reads every byte of every text, many runs side by side, one
+(``PER_LABEL`` rows and ``LABEL_CHARS`` characters a language, see
+``training_rows``): each step draws its runs from anywhere in the whole texts.
+A row trains under its own language only. Prediction reads every byte of every text, many runs side by side, one
 slice at a time, without a shuffle.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter;
 without any training row all texts are ``und``; a null doc_id counts as not
-held out and never trains; repeated rows are scored each; other columns are not
-read.
+held out and never trains; repeated rows are scored each; of equally likely
+languages the first by name is said; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxaledger.llm.texts import id_and_text, slices
-from taxaledger.llm.training_rows import training_pieces
+from taxaledger.llm.training_rows import thinned, training_texts
 
 UNITS = 8
 STEPS = 96
 ROWS = 4096
 PER_LABEL = 600
-PIECES, LENGTH = 4, 192
+LABEL_CHARS = 4_000_000
 BATCHES = 260
 RATE = 0.02
 
@@ -80,7 +82,8 @@ def backward(w, side, data, kept, d_states, grads) -> None:
         d_h = d_h * z + d_a @ inner.T
 
 
-def fit(rows: list[tuple[str, list[str]]], seed: int = 11) -> Network:
+def fit(rows: list[tuple[str, str]], seed: int = 11) -> Network:
+    """The network for (language, text) of training documents."""
     langs = sorted({y for y, _ in rows})
     net = Network(langs)
     if not langs:
@@ -93,7 +96,7 @@ def fit(rows: list[tuple[str, list[str]]], seed: int = 11) -> Network:
         w[f"re_{side}"] = rng.normal(0, 0.3, (u, 3 * u)).astype(np.float32)
     w["out"] = rng.normal(0, 0.3, (2 * u, k)).astype(np.float32)
     w["bias"] = np.zeros(k, np.float32)
-    by_lang = [[p.encode() for y, ps in rows if y == lang for p in ps if p] for lang in langs]
+    by_lang = [[t.encode() for y, t in rows if y == lang] for lang in langs]
     m1 = {a: np.zeros_like(x) for a, x in w.items()}
     m2 = {a: np.zeros_like(x) for a, x in w.items()}
     size = 256
@@ -160,8 +163,8 @@ def held_out(id_col: str = "doc_id"):
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
     """Fit on documents with a language that are not held out; the bounds are those of the module."""
-    marks = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("label"))
-    return fit(training_pieces(id_and_text(docs, id_col, text_col), marks.filter(~held_out()), PER_LABEL, PIECES, LENGTH))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"))
+    return fit(training_texts(thinned(own.filter(~held_out()), PER_LABEL, "doc_id"), PER_LABEL, LABEL_CHARS))
 
 
 def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

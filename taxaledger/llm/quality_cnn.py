@@ -7,13 +7,16 @@ documents, is the one probability of a document. Gradients of a max pool reach
 one position per filter and chunk, so training is a sparse update.
 
 The network is fitted on the driver on a bounded sample of labelled rows
-(``PER_LABEL`` rows a label, ``PIECES`` pieces of ``LENGTH`` characters each);
-scoring covers every byte of every text, one slice at a time, without a shuffle.
+(``PER_LABEL`` rows a label, ``LABEL_CHARS`` characters a label, see
+``training_rows``), on all chunks of these rows' whole texts; a text's chunks
+count together as the square root of their number. Scoring covers every byte of
+every text, one slice at a time, without a shuffle.
 
 Defined results: a null or empty text is one chunk of padding and scores as the
 network says; without labelled rows, or with one label only, every score is the
 share of label 1 (0.5 without any); a null doc_id counts as not held out;
-repeated rows are scored each; other columns are not read.
+repeated rows are scored each; an empty table gives no rows; a very long text is
+scored whole in its task, a block after the other; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxaledger.llm.texts import slices
-from taxaledger.llm.training_rows import training_pieces
+from taxaledger.llm.training_rows import thinned, training_texts
+from taxaledger.session import write_stage
 
 WIDTH = 6
 FILTERS = 32
 BLOCK = 128
 PER_LABEL = 1200
-PIECES, LENGTH = 8, 512
-EPOCHS = 12
+LABEL_CHARS = 4_000_000
+EPOCHS = 6
 THRESHOLD = 0.3
 
 
@@ -102,8 +106,8 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[tuple[int, list[str]]], seed: int = 7) -> Network:
-    """The network for (label, pieces) of training documents."""
+def fit(rows: list[tuple[int, str]], seed: int = 7) -> Network:
+    """The network for (label, text) of training documents."""
     rng = np.random.default_rng(seed)
     labels = np.array([y for y, _ in rows], np.float32)
     net = Network(rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, FILTERS).astype(np.float32), 0.0)
@@ -111,19 +115,19 @@ def fit(rows: list[tuple[int, list[str]]], seed: int = 7) -> Network:
         net.constant = float(labels.mean()) if len(labels) else 0.5
         return net
     size = 2 * BLOCK
-    chunks, targets, owners = [], [], []
-    for n, (y, pieces) in enumerate(rows):
-        raw = [p.encode() for p in pieces]
-        cut = [r[i : i + size] for r in raw for i in range(0, max(1, len(r) - BLOCK), BLOCK)]
-        keep = rng.permutation(len(cut))[:12]
-        chunks += [cut[i] for i in keep]
-        targets += [y] * len(keep)
-        owners += [n] * len(keep)
+    chunks, targets, shares = [], [], []
+    for y, text in rows:
+        raw = text.encode()
+        cut = [raw[i : i + size] for i in range(0, max(1, len(raw) - BLOCK), BLOCK)]
+        chunks += cut
+        targets += [y] * len(cut)
+        shares += [len(cut) ** -0.5] * len(cut)
     data = np.zeros((len(chunks), size + WIDTH), np.uint8)
     for i, c in enumerate(chunks):
         data[i, : len(c)] = np.frombuffer(c, np.uint8)
     y = np.array(targets, np.float32)
     weight = np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean())).astype(np.float32)
+    weight *= (np.array(shares) / np.mean(shares)).astype(np.float32)
     grads2 = [np.full_like(a, 1e-6) for a in (net.taps, net.bias, net.out)]
     bias2, batch = 1e-6, 128
     positions = np.arange(size)
@@ -152,7 +156,7 @@ def fit(rows: list[tuple[int, list[str]]], seed: int = 7) -> Network:
             bias2 += d_b * d_b
             net.out_bias -= rate * d_b / bias2**0.5
     tables = pair_tables(net)
-    x = text_logits(["\n".join(p).encode() for _, p in rows], net, tables)
+    x = text_logits([t.encode() for _, t in rows], net, tables)
     # Calibration with classes weighed alike, so that neither label's share in the sample counts.
     w = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     scale, shift = 1.0, 0.0
@@ -171,7 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on documents that are not held out; the bounds are those of the module."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out())
-    return fit(training_pieces(own, marks, PER_LABEL, PIECES, LENGTH))
+    # Thinned before any text is read.
+    chosen = write_stage(thinned(marks, PER_LABEL, "doc_id").distinct())
+    return fit(training_texts(own.join(chosen, "doc_id"), PER_LABEL, LABEL_CHARS))
 
 
 def held_out(mod: int = 5, rest: int = 0, id_col: str = "doc_id"):

@@ -1,33 +1,37 @@
-"""Bounded, balanced training pieces for the classifiers."""
+"""Bounded, balanced training rows for the classifiers; their texts are taken whole."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaledger.session import write_stage
 
 
-def training_pieces(docs: DataFrame, marks: DataFrame, per_label: int, pieces: int, length: int) -> list[tuple]:
-    """(label, [pieces]) of about ``per_label`` documents of each label, chosen by the hash of their id.
-
-    ``marks``: doc_id and label of the training part. They are thinned before
-    any text is read. Of a text that is no longer than ``pieces`` times
-    ``length`` characters all is taken, else pieces spread evenly over it. What
-    reaches the driver is bounded by ``per_label * 1.5 * pieces * length``
-    characters a label.
-    """
+def thinned(marks: DataFrame, per_label: int, *key: str) -> DataFrame:
+    """About 1.2 times ``per_label`` rows of each ``label``, chosen by a hash of ``key``, which becomes ``dice``."""
     marks = marks.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     counts = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 1.2 * per_label / n)))])
-    dice = F.pmod(F.xxhash64("doc_id", F.lit("training rows")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = write_stage(marks.withColumn("dice", dice).filter(F.col("dice") < share[F.col("label")]).distinct())
+    share: Column = F.lit(0.0)
+    if counts:
+        share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 1.2 * per_label / n)))])[F.col("label")]
+    dice = F.pmod(F.xxhash64(*key, F.lit("training rows")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return marks.withColumn("dice", dice).filter(F.col("dice") < share)
+
+
+def training_texts(chosen: DataFrame, per_label: int, chars: int) -> list[tuple]:
+    """(label, text) of thinned rows (label, dice, text).
+
+    Bounds, by label: 1.5 times ``per_label`` rows (only ids or texts that
+    repeat reach it) and ``chars`` characters in all. A row is taken whole or
+    not at all; one of more than a quarter of ``chars`` is not taken.
+    """
     size = F.length("text")
-    cut = F.when(size <= pieces * length, F.array("text")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(F.col("text"), (F.floor(i * (size - length) / max(1, pieces - 1)) + 1).cast("int"), F.lit(length)))
-    )
-    taken = write_stage(docs.filter(size > 0).select("doc_id", cut.alias("cut")).join(chosen, "doc_id").drop("doc_id"))
-    # The share aims at 1.2 times the bound; the limit only guards against ids that repeat.
-    return [(r[0], list(r[1])) for k in sorted(counts) for r in taken.filter(F.col("label") == F.lit(k)).orderBy("dice", "cut").limit(int(1.5 * per_label)).select("label", "cut").collect()]
+    taken = write_stage(chosen.filter((size > 0) & (size <= chars // 4)).select("label", "dice", "text"))
+    order = Window.partitionBy("label").orderBy("dice", "text").rowsBetween(Window.unboundedPreceding, 0)
+    out = []
+    for label in sorted(r[0] for r in taken.select("label").distinct().collect()):
+        rows = taken.filter(F.col("label") == F.lit(label)).orderBy("dice", "text").limit(int(1.5 * per_label))
+        rows = rows.withColumn("so_far", F.sum(size).over(order)).filter(F.col("so_far") <= chars)
+        out += [(label, r[0]) for r in rows.orderBy("dice", "text").select("text").collect()]
+    return out

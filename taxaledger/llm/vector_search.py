@@ -2,8 +2,10 @@
 
 Rows are spread over shards of about ``SHARD_ROWS`` by a hash of their row, so
 equal vectors or ids make no large shard. Each shard's tree is built once and
-written. Queries are packed in blocks of ``BLOCK_ROWS``; each tree meets each
-block once, and the blocks' results are merged per query. A subtree is skipped
+written. Queries are packed in blocks of ``BLOCK_ROWS``; a cell is one tree and
+up to ``CELL_BLOCKS`` blocks, and cells are dealt over tasks by shard and blocks.
+So a tree is copied once for that many blocks, and no task holds more than a
+cell; the cells' results are merged per query. A subtree is skipped
 if the triangle inequality puts all of it farther than the query's worst hit
 times ``factor``: 1, as set, never loses a neighbour; smaller factors skip more
 and lose neighbours, the more the fewer dimensions the vectors really span.
@@ -20,8 +22,6 @@ read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,6 +33,8 @@ from taxaledger.session import write_stage
 
 SHARD_ROWS = 8192
 BLOCK_ROWS = 2048
+#: Blocks of queries that meet a tree in one cell.
+CELL_BLOCKS = 16
 FACTOR = 1.0
 K = 10
 
@@ -75,21 +77,31 @@ def nearest(index: DataFrame, queries: DataFrame, n_queries: int, k: int = K, fa
     packed = queries.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks))).groupBy("block", "dim").applyInPandas(
         _block, "block long, dim int, q_ids binary, q_rows binary, q_vectors binary"
     )
-    met = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, ["block", "dim"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                ids, rows, q_ids, q_rows, order = (np.frombuffer(r[c], "<i8") for c in ("ids", "rows", "q_ids", "q_rows", "tree_order"))
-                x, q = (np.frombuffer(r[c], "<f8").reshape(-1, r["dim"]) for c in ("vectors", "q_vectors"))
-                numbers = np.frombuffer(r["nodes"], "<f8").reshape(-1, 7)
-                nodes = [(int(a), int(b), int(c), d, int(e), int(f), int(g)) for a, b, c, d, e, f, g in numbers.tolist()]
+    parts = -(-blocks // CELL_BLOCKS)
+    shards = 1 + (index.agg(F.max("shard")).first()[0] or 0)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    def run(trees_: pa.Table, blocks_: pa.Table) -> pa.Table:
+        """The nearest of a cell's tree to the queries of its blocks."""
+        found = []
+        for r in trees_.to_pylist():
+            ids, rows, order = (np.frombuffer(r[c], "<i8") for c in ("ids", "rows", "tree_order"))
+            x = np.frombuffer(r["vectors"], "<f8").reshape(-1, r["dim"])
+            nodes = [(int(a), int(b), int(c), d, int(e), int(f), int(g)) for a, b, c, d, e, f, g in np.frombuffer(r["nodes"], "<f8").reshape(-1, 7).tolist()]
+            for b in blocks_.to_pylist():
+                q_ids, q_rows = (np.frombuffer(b[c], "<i8") for c in ("q_ids", "q_rows"))
+                q = np.frombuffer(b["q_vectors"], "<f8").reshape(-1, r["dim"])
                 best, best_id = Search(Tree(order, nodes), x, ids, rows, q, q_rows, k, factor).run()
                 at, place = np.nonzero(np.isfinite(best))
-                yield pa.RecordBatch.from_arrays([pa.array(q_rows[at]), pa.array(q_ids[at]), pa.array(best_id[at, place]), pa.array(best[at, place])], ["query_row", "query_id", "vec_id", "score"])
-
-    found = met.select(*[c.split(" ")[0] for c in _TREE.split(", ")], "q_ids", "q_rows", "q_vectors").drop("shard").mapInArrow(run, _FOUND)
+                found.append([q_rows[at], q_ids[at], best_id[at, place], best[at, place]])
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, t) for t in ("i8", "i8", "i8", "f8")]
+        return pa.table(columns, names=["query_row", "query_id", "vec_id", "score"])
+
+    # A set number of partitions: cells are small to move and long to search, so they must not be put together by size.
+    cell, tasks = ["shard", "dim", "part"], min(1 << 15, 4 * shards * parts)
+    left = index.withColumn("part", each(parts)).repartition(tasks, *cell)
+    right = packed.withColumn("part", F.floor(F.col("block") / CELL_BLOCKS)).withColumn("shard", each(shards)).repartition(tasks, *cell)
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(run, _FOUND)
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

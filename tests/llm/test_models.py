@@ -73,7 +73,7 @@ def test_quality_of_odd_rows(llm, odd, none):
 
 def test_every_byte_counts():
     """Pooled chunks cover texts of any length: one odd byte anywhere changes the score."""
-    net = quality_cnn.fit([(1, ["aaaa " * 60]), (0, ["%%%% " * 60])] * 4)
+    net = quality_cnn.fit([(1, "aaaa " * 60), (0, "%%%% " * 60)] * 4)
     tables = quality_cnn.pair_tables(net)
     for n in (1, 127, 128, 129, 700):
         base = quality_cnn.text_logits([b"a" * n], net, tables)[0]
