@@ -5,7 +5,7 @@ import pytest
 from compare import difference, duck
 
 import corpus_pipeline
-from taxaledger.llm import catalogue, language_gru, quality_cnn, vector_search
+from taxaledger.llm import catalogue, language_gru, quality_cnn, training_rows, vector_search
 from taxaledger.llm.vp_tree import Search, build, distances
 
 
@@ -146,3 +146,104 @@ def test_pipeline_keeps_columns_and_removes(llm, odd, folder):
 def test_pipeline_of_an_empty_table(llm, none, folder):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(llm, none, folder).count() == 0
+
+
+def test_recall_against_brute_force(llm):
+    df = llm.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = vector_search.usable(df).collect()
+    by_length = {}
+    for r in rows:
+        by_length.setdefault(r["dim"], []).append(r)
+    got = {}
+    for r in vector_search.search(df, shard_rows=300).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for group in by_length.values():
+        x, ids = np.array([r["v"] for r in group]), np.array([r["vec_id"] for r in group])
+        for q in np.flatnonzero(ids % 100 == 0):
+            d = distances(x[q : q + 1], x)[0]
+            d[q] = np.inf
+            near = [i for i in np.lexsort((ids, d))[:10] if np.isfinite(d[i])]
+            assert got.get(int(ids[q]), set()) == {int(ids[i]) for i in near}
+
+
+def test_search_cells_use_a_task_each(llm):
+    """With one block of queries, every tree is searched in a cell of its own."""
+    rng = np.random.default_rng(4)
+    df = llm.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))], "vec_id long, embedding array<double>")
+    rows = vector_search.usable(df).withColumn("row", vector_search.F.col("vec_id"))
+    index = vector_search.trees(rows, 600, 75)
+    plan = vector_search.nearest(index, rows.filter("vec_id % 20 = 0"), 30)
+    assert "hashpartitioning(shard" in plan._jdf.queryExecution().toString() and index.count() == 8
+    several = vector_search.nearest(index, rows, 600, block_rows=20)  # 30 blocks, two parts
+    assert several.count() == 6000 and {tuple(r) for r in plan.collect()} <= {tuple(r) for r in several.collect()}
+
+
+def test_training_rows_are_whole_and_bounded(llm):
+    rows = [(i, "x" * (10 + i), "ab"[i % 2]) for i in range(400)] + [(1000, "y" * 5000, "a"), (1001, None, "b"), (None, "z", "a"), (7, "w", None), (1002, "", "b")]
+    df = llm.createDataFrame(rows, "doc_id long, text string, label string")
+    whole = {t for _, t, _ in rows}
+    got = training_rows.training_texts(training_rows.thinned(df, 50, "doc_id"), 50, 12_000)
+    assert all(t in whole and 0 < len(t) <= 3000 for _, t in got)
+    for label in "ab":
+        held = [t for k, t in got if k == label]
+        assert 20 < len(held) <= 75 and sum(map(len, held)) <= 12_000
+    everything = training_rows.training_texts(training_rows.thinned(df, 1000, "doc_id"), 1000, 1 << 20)
+    assert sorted(t for _, t in everything) == sorted(t for i, t, k in rows if i is not None and t and k)
+
+
+def test_a_row_trains_under_its_own_label_only(llm):
+    rows = [(5, "der die das", "de"), (5, "the of and", None)] * 3
+    df = llm.createDataFrame(rows, "doc_id long, text string, label string")
+    assert set(training_rows.training_texts(training_rows.thinned(df, 10, "doc_id"), 10, 1000)) == {("de", "der die das")}
+
+
+def test_quality_score_position_by_position():
+    """The pooled network against its definition, one filter and place at a time."""
+    net = quality_cnn.fit([(1, "good words here " * 30), (0, "#$%& 123 junk " * 30)] * 3)
+    for text in (b"", b"ab", b"q" * 128, bytes(range(256)) * 3, "é ü # words ".encode() * 40):
+        blocks = max(1, -(-len(text) // quality_cnn.BLOCK))
+        padded = text.ljust(blocks * quality_cnn.BLOCK, b"\0") + b"\0" * quality_cnn.WIDTH
+        starts = range(0, max(1, blocks - 1) * quality_cnn.BLOCK, quality_cnn.BLOCK)
+        size = min(2, blocks) * quality_cnn.BLOCK
+        logits = []
+        for s in starts:
+            at = [sum(net.taps[k, padded[i + k]] for k in range(quality_cnn.WIDTH)) for i in range(s, s + size)]
+            logits.append(np.maximum(np.max(at, axis=0) + net.bias, 0) @ net.out + net.out_bias)
+        assert quality_cnn.text_logits([text], net, quality_cnn.pair_tables(net))[0] == pytest.approx(np.mean(logits), abs=1e-4)
+
+
+def test_language_probabilities_position_by_position():
+    """The network against its equations, one byte at a time."""
+    rng = np.random.default_rng(9)
+    u = language_gru.UNITS
+    net = language_gru.Network(["a", "b", "c"], {"out": rng.normal(size=(2 * u, 3)), "bias": rng.normal(size=3)})
+    for side in "lr":
+        net.weights |= {f"in_{side}": rng.normal(size=(256, 3 * u)), f"re_{side}": rng.normal(size=(u, 3 * u))}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    text = "Straße, ça và 42. ".encode() * 12
+    labels = []
+    for b in range(0, len(text), language_gru.STEPS):
+        run = text[b : b + language_gru.STEPS].ljust(language_gru.STEPS, b"\0")
+        states = {}
+        for side, order in (("l", range(len(run))), ("r", range(len(run) - 1, -1, -1))):
+            h = np.zeros(u)
+            for t in order:
+                x, inner = net.weights[f"in_{side}"][run[t]], net.weights[f"re_{side}"]
+                z, r = sig(x[:u] + h @ inner[:, :u]), sig(x[u : 2 * u] + h @ inner[:, u : 2 * u])
+                h = z * h + (1 - z) * np.tanh(x[2 * u :] + r * (h @ inner[:, 2 * u :]))
+                states[side, t] = h
+        for t in range(min(language_gru.STEPS, len(text) - b)):
+            e = np.exp(np.concatenate((states["l", t], states["r", t])) @ net.weights["out"] + net.weights["bias"])
+            labels.append(e / e.sum())
+    assert language_gru.probabilities([text], net)[0] == pytest.approx(np.mean(labels, axis=0), abs=1e-4)
+
+
+def test_a_very_long_text_is_read_to_its_end(llm):
+    long = "the of and with that is " * 90_000  # over 2 MB
+    df = llm.createDataFrame([(1, long), (2, long + "%%%%#### " * 90_000)], "doc_id long, text string")
+    lang = language_gru.fit([("en", "the of and with that is " * 9), ("xx", "%%%%#### " * 30)])
+    a, b = language_gru.predict(df, lang).orderBy("doc_id").collect()
+    assert a["lang_pred"] == "en" and b["score"] < a["score"]
+    net = quality_cnn.fit([(1, "the of and with that is " * 40), (0, "%%%%#### " * 90)] * 3)
+    a, b = quality_cnn.score(df, net).orderBy("doc_id").collect()
+    assert b["score"] < a["score"]
