@@ -91,6 +91,56 @@ def test_fuzzy_equals_brute_force(spark):
     assert got == want
 
 
+def test_nearest_of_each_source_equals_brute_force(spark):
+    """Queries of one to four edits; sources that hold the same name, or none near."""
+    from taxaledger.operators.nearest import fuzzy_best
+    from taxaledger.sources import bases
+
+    rng = random.Random(8)
+    word = lambda a, b: "".join(rng.choice("abc") for _ in range(rng.randint(a, b)))
+    pool = [f"Aus {word(2, 9)}" for _ in range(60)] + [word(21, 36).capitalize() for _ in range(30)] + ["A", "Ab"]
+    held = [sorted({rng.choice(pool) for _ in range(50)}) for _ in range(2)]
+    queries = {}
+    for name in pool * 2:
+        at = rng.randrange(len(name))
+        name = name[:at] + rng.choice(["", "a", "bc", "cab"]) + name[at + rng.randint(0, 1):]
+        queries[name or "A"] = rng.randint(1, 3)
+    asked = spark.createDataFrame(list(queries.items()), "query_name string, ask int")
+    rows = [[(i, n, n, rng.choice(["accepted", "synonym"])) for i, n in enumerate(h)] for h in held]
+    schema = "seq long, species string, scientificName string, taxonomicStatus string"
+    src = [bases.checklist(f"s{i}", "S", i, spark.createDataFrame(r, schema)) for i, r in enumerate(rows)]
+    got = {(r["query_name"], r["src"]): (r["distance"], r["seq"], r["target"]) for r in fuzzy_best(asked, src).collect()}
+    want = {}
+    for q, ask in queries.items():
+        for i, r in enumerate(rows):
+            near = [(edits(q, n), st == "synonym", seq, n) for seq, n, _, st in r if ask >> i & 1 and edits(q, n) <= -(-len(q) // 10)]
+            if near:
+                d, _, seq, n = min(near)
+                want[q, i] = (d, seq, n)
+    assert got == want and {d for d, _, _ in want.values()} >= {0, 1, 2, 3}
+
+
+def test_names_of_one_crowded_genus_hardly_meet(spark):
+    """Names that share a long genus alone are never compared, so the work does not grow with its square."""
+    from taxaledger.operators import fuzzy
+
+    rng = random.Random(4)
+    names = sorted({"Large ring" + "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)})
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for r in rows:
+            seen.add(r["t"] * r["q"])
+
+    q = fuzzy.remnants(df.where("hash(n) % 4 = 0"), "n", 2).groupBy("_sig").agg(F.count("*").alias("q"))
+    t = fuzzy.remnants(df, "n", 2).groupBy("_sig").agg(F.count("*").alias("t"))
+    q.join(t, "_sig").foreachPartition(count)
+    asked = df.where("hash(n) % 4 = 0").count()
+    # Each meets itself on all its 137 remnants; on segments each would meet all 4,000 twice.
+    assert seen.value < 400 * asked
+
+
 def test_first_per_key(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", None, "z"), ("b", 5, "w")], "k string, o int, v string")
     assert {(r["k"], r["v"]) for r in J.first_per_key(df, ["k"], [F.col("o")], ["v"]).collect()} == {("a", "y"), ("b", "z")}
