@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_filled
+from ..session import write_stage
 from .listing import empty_files
 
 MAX_BYTES = 200 * 1024 * 1024
@@ -70,10 +71,11 @@ def check_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, name
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("path", F.col("_metadata.file_path"))
     kml = F.lower(name(F.col("path"))).endswith(".kml")
-    sized = files.select("path", "length").select(
+    # Read twice: opening many small files costs more than their rows.
+    sized = write_stage(files.select("path", "length").select(
         "path",
         F.when(~kml, "unsupported format").when(F.col("length") > max_bytes, "file too large").alias("reason"),
-    )
+    ))
     text = F.replace(F.decode("content", "UTF-8"), F.lit("\u0000"), F.lit(""))
     head = F.regexp_replace(text, r"(?s)<\?.*?\?>|<!--.*?-->", "")
     # The first tag's name, without its prefix.
@@ -112,7 +114,8 @@ def placemark_vertices(marks: DataFrame) -> DataFrame:
             F.concat(F.array(p["outerBoundaryIs"]), F.coalesce(p["innerBoundaryIs"], inner)), lambda r: _ring(r["LinearRing"]["coordinates"])).alias("rings"))),
         F.transform(points, lambda p: F.struct(F.lit(False).alias("polygon"), F.array(_ring(p["coordinates"])).alias("rings"))),
     )
-    parts = marks.select("path", "place", F.posexplode(shapes).alias("i", "s"))
+    # Read twice, and by each result: the files themselves are parsed once.
+    parts = write_stage(marks.select("path", "place", F.posexplode(shapes).alias("i", "s")))
     outlined = parts.groupBy("path").agg(F.max("s.polygon").alias("outlined"))
     parts = parts.join(outlined, "path").where(F.col("s.polygon") == F.col("outlined"))
     # Shapes of a file in the order of its placemarks: one file's shapes at a time.
@@ -131,7 +134,7 @@ def read_areas(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES,
     uploads that lie under other names, such as ``part-*``, are named by their
     folder (``folder_name``).
     """
-    checked = check_files(spark, path, max_bytes, name)
+    checked = write_stage(check_files(spark, path, max_bytes, name))
     marks = (
         spark.read.format("xml").option("rowTag", "Placemark").option("ignoreNamespace", "true").option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true").schema(PLACEMARK).load(path)

@@ -204,3 +204,20 @@ def test_parts_follow_the_placemarks(spark, tmp_path):
     put(str(tmp_path), "many.kml", KML.format(marks))
     got = area_files.read_areas(spark, str(tmp_path)).vertices.orderBy("part").collect()
     assert [(r["part"], r["lon"]) for r in got] == [(i, float(i)) for i in range(300)]
+
+
+def test_uploads_are_opened_by_many_tasks_and_parsed_once(spark, tmp_path, monkeypatch):
+    """Few bytes in many files: one task would open them all, one after the other."""
+    from catalogue import queries as Q
+    from catalogue.views import Inputs
+    from taxaledger.sources import area_files
+
+    folder, staged = str(tmp_path / "uploads"), []
+    stage = area_files.write_stage
+    monkeypatch.setattr(Q, "_folder", lambda v: folder)
+    monkeypatch.setattr(area_files, "write_stage", lambda df: staged.append(df.columns) or stage(df))
+    read = Q._uploads(Inputs(spark, "/root/testdata/sf0.01"))
+    tasks = {p.name.split("-")[1] for p in (tmp_path / "uploads").rglob("part-*")}
+    assert len(tasks) > 4
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in read.__dict__.values()]
+    assert ["path", "place", "i", "s"] in staged and not any("Polygon" in p for p in plans)
