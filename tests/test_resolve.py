@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxaledger.operators import answers as A
+from taxaledger.operators import records as R
 from taxaledger.operators import threat as T
 from taxaledger.plans.full_run import Geography, Reference, run_all
 from taxaledger.plans.resolve import resolve_with_failures
@@ -101,3 +102,14 @@ def test_a_source_without_rows(spark):
     cascade, failures = resolve_with_failures(spark.createDataFrame([("Aus bus",)], "query_name string"), [empty])
     assert [(r["validation_status"], r["provider"]) for r in cascade.collect()] == [("not_found", "empty")] and failures.count() == 0
     assert tuple(empty_result(spark).columns) == tuple(CANONICAL_COLUMNS) and empty_result(spark).count() == 0
+
+
+def test_answers_take_the_parsed_name_along(spark, monkeypatch):
+    """Names parsed once are not parsed again for each (name, locality) pair."""
+    monkeypatch.setattr(R, "normalize_name", None)
+    pairs = spark.createDataFrame([("Aus bus L.", "Aus bus", "a"), ("Aus bus L.", "Aus bus", "b"), (None, None, "a")], "scientificName string, query_name string, locality string")
+    cascade = spark.createDataFrame([("Aus bus", "Aus")], "query_name string, genus string")
+    out = R.answers_for(pairs, cascade)
+    assert out.columns == ["scientificName", "locality", "_c"]
+    assert sorted((r["locality"], r["_c"] and r["_c"]["genus"]) for r in out.where("scientificName IS NOT NULL").collect()) == [("a", "Aus"), ("b", "Aus")]
+    assert out.where("scientificName IS NULL").first()["_c"] is None
