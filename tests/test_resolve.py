@@ -113,3 +113,27 @@ def test_answers_take_the_parsed_name_along(spark, monkeypatch):
     assert out.columns == ["scientificName", "locality", "_c"]
     assert sorted((r["locality"], r["_c"] and r["_c"]["genus"]) for r in out.where("scientificName IS NOT NULL").collect()) == [("a", "Aus"), ("b", "Aus")]
     assert out.where("scientificName IS NULL").first()["_c"] is None
+
+
+_SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["map_points", "fuzzy_best", "iucn_category"])
+def test_a_query_searches_its_names_once(spark, monkeypatch, name):
+    """However many steps go on from the answers, the sources' closest names are searched once."""
+    from catalogue import queries as Q
+
+    asked = []
+    search = Q.rsv.fuzzy_best
+    monkeypatch.setattr(Q.rsv, "fuzzy_best", lambda *a: asked.append(1) or search(*a))
+    Q.QUERIES[name](spark, _SMALL)
+    assert len(asked) == 1
+
+
+@pytest.mark.parametrize("name", ["names_by_area", "accepted_name_map", "audit"])
+def test_plans_that_go_on_from_answers_parse_no_name(spark, name):
+    """Typed names are parsed, and answers chosen, where they are written: not once per use in a later plan."""
+    from catalogue import queries as Q
+
+    plan = Q.QUERIES[name](spark, _SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "greatest(" not in plan and plan.count("regexp_replace") <= 4
