@@ -186,6 +186,22 @@ def test_shingle_counts():
     assert [sorted(n[doc == i].tolist()) for i in range(4)] == [sorted(bag(t).values()) for t in texts]
 
 
+def test_sums_by_neighbour_across_batches(monkeypatch):
+    """One pass over the words equals adding place by place, at a batch's ends and with words seen often or once."""
+    monkeypatch.setattr(window_network, "OFTEN", 4)
+    rng = np.random.default_rng(4)
+    ids, doc = np.minimum(rng.geometric(0.05, 60), window_network.VOCAB - 1), np.sort(rng.integers(0, 12, 60))
+    near = window_network.contexts(ids, doc)
+    for at, n in ((0, 60), (0, 20), (20, 20), (40, 20), (59, 1), (58, 2)):
+        rows = rng.normal(size=(n + 1, window_network.UNITS)).astype(np.float32)
+        rows[n], place = 0, rng.permutation(n)
+        want = np.zeros(window_network.SHAPES["near"])
+        for p in range(len(window_network.OFFSETS)):
+            np.add.at(want[p], near[p, at : at + n], rows[place])
+        got = window_network._by_neighbour(ids, near[:, at : at + n], at, rows, place)
+        assert np.allclose(got, want, atol=1e-5)
+
+
 def test_network_gradient():
     """The step against numerical derivatives of the mean log-probability."""
     rng = np.random.default_rng(1)
