@@ -343,3 +343,47 @@ def test_hot_cells_are_split_on_both_sides(spark, monkeypatch):
         lo, hi = box([v for v in areas if v[0] == f"A{i}"], 4)
         want |= {(f"A{i}", f"S{j}") for j in range(22) if (b := box([v for v in regions if v[1] == f"S{j}"], 5)) and lo <= b[1] and hi >= b[0]}
     assert got == want
+
+
+def test_each_place_is_held_against_many_areas_once(spark, monkeypatch):
+    """Areas past a broadcast: 2,000 records on four places cost the exact test of four."""
+    from taxaledger.plans.verify import buffer_cells
+
+    square = [(0, 0), (0.08, 0), (0.08, 0.08), (0, 0.08), (0, 0)]
+    corners = [("west", -49.0, -20.0), ("east", -48.95, -20.02), ("far", -30.0, -20.0)]
+    vertices = [(a, 0, 0, i, x + dx, y + dy) for a, x, y in corners for i, (dx, dy) in enumerate(square)]
+    edges = G.polygon_edges(spark.createDataFrame(vertices, "area string, part int, ring int, seq int, lon double, lat double"), ["area"])
+    cells = buffer_cells(edges)
+    places = [(-48.96, -19.96), (-49.05, -19.95), (-48.8, -19.95), (-48.5, -20.0)]
+    points = spark.range(2000).select(
+        F.col("id").cast("string").alias("key"),
+        *[F.element_at(F.array(*[F.lit(p[n]) for p in places]), (F.col("id") % 4 + 1).cast("int")).alias(c) for n, c in enumerate(("decimalLongitude", "decimalLatitude"))])
+    want = sorted((r["area"], r["key"]) for r in G.points_near(points, cells, 10_000.0).collect())
+    assert {int(k) % 4 for _, k in want} == {0, 1, 2} and len(want) == 2000
+
+    tested = []
+    split = G.split_join
+
+    def counted(left, *rest, **named):
+        tested.append(left.count())
+        return split(left, *rest, **named)
+
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(J, "split_join", counted)
+    monkeypatch.setattr(G, "split_join", counted)
+    # Places are hot by the rows that come out of them.
+    monkeypatch.setattr(J, "TASK_ROWS", 600)
+    got = G.points_near(points, cells, 10_000.0)
+    assert sorted((r["area"], r["key"]) for r in got.collect()) == want
+    assert got.columns == [*points.columns, "area"]
+    # Only the last join, which tests nothing, has all records.
+    assert max(tested[:-1]) <= 4 and tested[-1] == 2000
+
+
+def test_projection_in_steps_equals_the_expression(spark):
+    from taxaledger.functions.geodesy import with_metric
+
+    rows = [(-45.3, -20.1, 31983), (-48.0, 1.2, 31976), (-54.0, 0.0, 5880), (-86.2, -21.7, 5880), (-47.9, 0.0, 31982)]
+    df = spark.createDataFrame(rows, "lon double, lat double, epsg int").withColumn("p", project(F.col("lon"), F.col("lat"), F.col("epsg")))
+    for r in with_metric(df, "lon", "lat", "epsg", "x", "y").collect():
+        assert abs(r["x"] - r["p"]["x"]) < 1e-6 and abs(r["y"] - r["p"]["y"]) < 1e-6
