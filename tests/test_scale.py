@@ -167,6 +167,21 @@ def test_two_edits_meet_on_few_remnants_of_the_end(spark):
     assert met.agg(F.sum(F.col("a") * F.col("b")).alias("n")).first()["n"] < 400 * df.where("hash(n) % 4 = 0").count()
 
 
+def test_ends_left_alike_meet_within_the_edits_alone(spark):
+    """Of a crowded genus no pair that meets is further apart than two edits: no distance is worked out in vain."""
+    from taxaledger.operators import fuzzy
+
+    rng = random.Random(11)
+    names = sorted({"Large ring" + "".join(rng.choice("abcde") for _ in range(rng.choice([5, 6, 6, 6, 7]))) for _ in range(1500)})
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    asked, held = fuzzy._tail_signatures(df.where("hash(n) % 4 = 0").withColumnRenamed("n", "q"), df, "q", "n", 2)
+    held = held.withColumnRenamed("_places", "_held")
+    met = asked.join(held, "_sig").where(F.col("_places").bitwiseAND(F.col("_held")) != 0).select("q", "n").distinct()
+    near = met.agg(F.count_if(F.levenshtein("q", "n") <= 2).alias("near"), F.count("*").alias("all")).first()
+    q = df.where("hash(n) % 4 = 0").withColumnRenamed("n", "q")
+    assert near["near"] == near["all"] == q.join(df, F.levenshtein("q", "n") <= 2).count() > 1000
+
+
 def test_first_per_key(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", None, "z"), ("b", 5, "w")], "k string, o int, v string")
     assert {(r["k"], r["v"]) for r in J.first_per_key(df, ["k"], [F.col("o")], ["v"]).collect()} == {("a", "y"), ("b", "z")}
